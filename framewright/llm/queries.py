@@ -46,6 +46,12 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op4_url_filter, op7_bfd_sharding, op8_pareto_mixing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm import ngram_join
+
+    return ngram_join.join(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op4_url_filter, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {}

@@ -110,3 +110,35 @@ def test_op8_targets(spark, docs):
         assert (g.taken <= 2 * g["size"]).all() and (g.taken >= 0).all()
     again = Q.op8_pareto_mixing(spark, SF).toPandas()
     assert Counter(map(tuple, again[["doc_id", "taken"]].to_numpy())) == Counter(map(tuple, out[["doc_id", "taken"]].to_numpy()))
+
+
+def brute_components(texts: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    sets = {}
+    for k, t in texts:
+        raw = (t or "").translate({c: c + 32 for c in range(65, 91)})
+        w = re.findall(r"[^\x20\x09-\x0D]+", raw)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for k, s in sets.items():
+        for g in s:
+            holders[g].append(k)
+    pairs = Counter((a, b) for h in holders.values() if len(h) > 1 for i, a in enumerate(h) for b in h[i + 1 :])
+    for (a, b), n in pairs.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+def test_op10_components(spark, docs):
+    want = brute_components([(r.doc_id, r.text) for r in docs.itertuples()])
+    out = Q.op10_ngram_join(spark, SF).toPandas()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.itertuples()}
+    assert len(out) == len(docs) and got == want
