@@ -33,6 +33,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.read(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm import suffix_dedup
+
+    return suffix_dedup.dedup(common.read(spark, sf_dir, "documents"), 200)
+
+
 def op7_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm import sharding
 
@@ -52,6 +58,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op4_url_filter, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op4_url_filter, op5_suffix_array_dedup, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {}

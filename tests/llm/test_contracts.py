@@ -142,3 +142,27 @@ def test_op10_components(spark, docs):
     out = Q.op10_ngram_join(spark, SF).toPandas()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.itertuples()}
     assert len(out) == len(docs) and got == want
+
+
+def brute_removed(texts: list[bytes], width: int) -> list[np.ndarray]:
+    count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        m = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - width + 1):
+            if count[t[i : i + width]] > 1:
+                m[i] += 1
+                m[min(i + width, len(t))] -= 1
+        out.append(np.cumsum(m)[: len(t)] > 0)
+    return out
+
+
+def test_op5_removed_bytes(spark, docs):
+    out = Q.op5_suffix_array_dedup(spark, SF).toPandas().set_index("doc_id")
+    texts = [(t or "").encode() for t in docs.text]
+    assert len(out) == len(docs)
+    for key, t, m in zip(docs.doc_id, texts, brute_removed(texts, 200), strict=True):
+        o = out.loc[key]
+        runs = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~m]) if t else b""
+        assert (o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) == (len(t), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), key
