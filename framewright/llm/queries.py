@@ -27,6 +27,13 @@ def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm import cotrain
+
+    out = cotrain.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return out.select("doc_id", *cotrain.SCORES)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm import url_filter
 
@@ -58,6 +65,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op4_url_filter, op5_suffix_array_dedup, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op3_cotraining, op4_url_filter, op5_suffix_array_dedup, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {}
