@@ -61,6 +61,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text) with a unique long `row`: the id itself, unless ids repeat or are null."""
+    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count():
+        return rows.withColumn("row", F.col("doc_id").cast("long")), True
+    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return stored(rows.withColumn("row", F.xxhash64("doc_id", F.row_number().over(w))), "numbered"), False
+
+
 # ---------------------------------------------------------------- ranks in groups
 
 

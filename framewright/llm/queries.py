@@ -46,6 +46,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(common.read(spark, sf_dir, "documents"), 200)
 
 
+def op6_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm import chain_dedup
+
+    return chain_dedup.passages(common.read(spark, sf_dir, "documents"))
+
+
 def op7_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm import sharding
 
@@ -59,12 +65,18 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm import mih
+
+    return mih.search(common.read(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm import ngram_join
 
     return ngram_join.join(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op3_cotraining, op4_url_filter, op5_suffix_array_dedup, op7_bfd_sharding, op8_pareto_mixing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_histogram_packing, op3_cotraining, op4_url_filter, op5_suffix_array_dedup, op6_chained_passages, op7_bfd_sharding, op8_pareto_mixing, op9_multi_index_hashing, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {}

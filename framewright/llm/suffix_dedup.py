@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import common
@@ -270,12 +270,7 @@ def repeats(docs: DataFrame, width: int = 200) -> DataFrame:
 def dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and on request `kept` (binary)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
-    if ids:  # ids that repeat: rows are numbered within their id
-        w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        rows = stored(rows.withColumn("row", F.xxhash64("doc_id", F.row_number().over(w))), "numbered")
-    else:
-        rows = rows.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    rows, _ = common.numbered(rows)
     spans = repeats(rows.filter(F.octet_length("text") >= width), width)
     both = rows.join(spans, "row", "left").select("doc_id", "text", "marks")
 

@@ -166,3 +166,31 @@ def test_op5_removed_bytes(spark, docs):
         runs = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
         kept = bytes(np.frombuffer(t, np.uint8)[~m]) if t else b""
         assert (o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) == (len(t), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), key
+
+
+def test_word_cache_equals_the_tokenizer():
+    from framewright.llm.packing import WordCache
+
+    c = WordCache(Q.vocabulary())
+    texts = ["", " ", "  a  b\n\n c", "it's we'll 12a½ ２３ x²y", "<|endoftext|> end", "a\x1cb\x85c d᠎e\x0b\x0c f", "日本語 テキスト", "Ⅷ_a__b -- ñandú ÷×", "ƻ ǅ ǅ ª º"]
+    texts += ["".join(chr(i) + "a " + chr(i) * 2 + "1" for i in range(a, a + 512) if not 0xD800 <= i < 0xE000) for a in range(0, 0x3400, 512)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in c.ids(texts)]
+    want = [e.ids for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
+
+
+def test_op9_recall_and_scores(spark):
+    table = pd.read_parquet(f"{SF}/embeddings.parquet")
+    x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
+    out = Q.op9_multi_index_hashing(spark, SF).toPandas()
+    hit = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        keep = ids != q
+        order = np.lexsort((ids[keep], -s[keep]))[:20]
+        got = out[out.query_id == q].sort_values("rank")
+        assert len(got) == 20 and list(got["rank"]) == list(range(1, 21))
+        assert np.allclose(got.score, [s[ids == v][0] for v in got.vec_id], rtol=0, atol=1e-12)
+        hit += len(set(got.vec_id) & set(ids[keep][order]))
+        total += 20
+    assert hit / total >= 0.9
