@@ -6,6 +6,7 @@ block of its own), so that a worker's memory follows the block and not the Arrow
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -69,6 +70,18 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
     return stored(rows.withColumn("row", F.xxhash64("doc_id", F.row_number().over(w))), "numbered"), False
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
+    """Arrow batches of few rows for what is planned and run inside: rows that carry whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 # ---------------------------------------------------------------- ranks in groups
 
 

@@ -18,7 +18,7 @@ size; a miscount costs time, never a link), then goes by hash.
    makes the result exact; the earlier ones only leave it little to do in groups of near copies.
 
 Null, empty and wordless texts: the empty set, their own component. Fewer than k words: one
-shingle of all. Repeated ids: equal ids share a component. Long texts: a worker holds one block.
+shingle of all. Repeated ids: each row counts by its own text. Long texts: a worker holds one block.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm import common
-from framewright.llm.common import components, dropped, stored
+from framewright.llm.common import components, dropped, small_batches, stored
 
 SKETCH, SLICE = 1 << 21, 1 << 15
 
@@ -77,7 +77,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (128 bits that name the set), ph (hash of the prefix), keys (the prefix, in order)."""
+    """row, doc_id, n, f1, f2 (128 bits that name the set), ph (hash of the prefix), keys (the prefix, in order)."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +96,9 @@ def signatures(docs: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
             off = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), long(f1), long(f2), long(ph), keys], names=["doc_id", "n", "f1", "f2", "ph", "keys"])
+            yield pa.record_batch([*part.columns[:2], pa.array(n, pa.int64()), long(f1), long(f2), long(ph), keys], names=["row", "doc_id", "n", "f1", "f2", "ph", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, ph long, keys array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, ph long, keys array<long>")
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -108,8 +108,8 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for part, sets in _sets(batches, k):
             yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "keys"])
 
-    own = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, "node long, keys binary").dropDuplicates(["node"])
+    own = docs.join(nodes.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
+    return own.mapInArrow(run, "node long, keys binary")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -119,18 +119,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    at = np.searchsorted(x, y)
-                    same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                    keep.append(100 * same >= 75 * (len(x) + len(y) - same))
-                yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    out = stored(both.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long"), "jaccard-links")
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(x, y)
+                same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                keep.append(100 * same >= 75 * (len(x) + len(y) - same))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with small_batches(docs.sparkSession):
+        out = stored(both.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long"), "jaccard-links")
     dropped(sets)
     return out
 
@@ -146,15 +145,14 @@ def _labels(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
 
 def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; ids must be integers."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, unique = common.numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     sig = stored(signatures(docs, k, count_sketch(docs, k)), "jaccard-prefixes")
     some = sig.filter("n > 0")
-    nodes = some.groupBy("n", "f1", "f2", "ph").agg(F.min("doc_id").alias("node"))
+    nodes = some.groupBy("n", "f1", "f2", "ph").agg(F.min("row").alias("node"))
     groups = nodes.groupBy("n", "ph").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
     nodes = stored(nodes.join(groups, ["n", "ph"]).select("node", "gid", "n", "f1", "f2", "members"), "jaccard-nodes")
-    # several rows of one id: any of them stands for the group only if its set is the group's
-    heads = nodes.filter("node = gid").select("gid", F.col("n").alias("gn"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    posts = some.join(heads, (F.col("doc_id") == F.col("gid")) & (F.col("n") == F.col("gn")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
+    groups = nodes.filter("node = gid")
+    posts = some.join(groups.select("gid"), F.col("row") == F.col("gid"))
     posts = posts.select("gid", "n", F.element_at("keys", -1).alias("end"), F.posexplode("keys").alias("pos", "tok"))
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.15)).cast("int")
     lane = F.when(F.shiftrightunsigned("tok", 58) > 0, F.pmod(F.xxhash64("gid"), F.expr("shiftleft(1, cast(least(shiftrightunsigned(tok, 58), 16) as int))"))).otherwise(0)
@@ -209,7 +207,11 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     links.append(_linked(stored(pairs, "jaccard-pairs"), docs, k))
     label = _labels(nodes.select("node", "n", "f1", "f2"), links)
     out = sig.select("doc_id", "n", "f1", "f2").join(label.select("n", "f1", "f2", "comp"), ["n", "f1", "f2"], "left")
-    # rows that share an id stay together
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    if unique:
+        out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
+    else:  # nodes are numbers of rows then
+        least = out.groupBy("comp").agg(F.min("doc_id").alias("least")).filter("comp is not null")
+        out = out.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     dropped(shared)
     return out

@@ -39,7 +39,8 @@ def labelled() -> list[tuple[str, int]]:
     """A small labelled table (url, 1: block), with the same prefixes, domains and paths in both classes."""
     heads, tails = ("", "www.", "blog.", "m."), (".example.com", ".example.org", ".example.net", ".test")
     paths = ("/en/1", "/de/22.html", "/fr/333/", "/es/4444?utm_source=feed", "/index.html", "/")
-    return [(f"https://{heads[(i + k) % 4]}{name}{tails[(i // 4 + k) % 4]}{paths[(i + 2 * k) % 6]}", y) for y, names in ((1, _BLOCKED), (0, _ALLOWED)) for i, name in enumerate(names) for k in range(2)]
+    blank = [("", 0)] * 8  # a url without host and path is no ground to block
+    return blank + [(f"https://{heads[(i + k) % 4]}{name}{tails[(i // 4 + k) % 4]}{paths[(i + 2 * k) % 6]}", y) for y, names in ((1, _BLOCKED), (0, _ALLOWED)) for i, name in enumerate(names) for k in range(2)]
 
 
 def parts(url: str | None) -> tuple[str, str]:
