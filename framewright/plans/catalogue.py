@@ -1,6 +1,6 @@
 """All queries of the engine (without the llm subpackage)."""
 
-from framewright.plans import aggregates, exports, joins, scans, windows  # noqa: F401
+from framewright.plans import aggregates, exports, joins, scalars, scans, windows  # noqa: F401
 from framewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
