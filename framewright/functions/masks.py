@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 MAGIC = b"BMK1"
 
@@ -32,13 +33,13 @@ def header(data: Column) -> tuple[Column, Column, Column]:
     return F.substring(data, 1, 4) == F.lit(MAGIC), number(data, 5, 4), number(data, 9, 4)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def area(data: pd.Series) -> pd.Series:
     """Number of set bits."""
     return data.map(lambda b: None if b is None else int(np.bitwise_count(np.frombuffer(b, np.uint8, offset=12)).sum()))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def united(data: pd.Series) -> bytes:
     """Bitwise OR of a group's masks of equal size (null and empty groups: null)."""
     out = None
