@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import common, cotrain, mixing, ngram_join, packing, queries, suffix_dedup
+from framewright.shipping import shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,7 +53,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.vocabulary())
 
 
-STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", exact_repeats), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", shipped(quality)),
+    ("n-gram Jaccard join", shipped(near_duplicates)),
+    ("suffix-array dedup", shipped(exact_repeats)),
+    ("mixing sources to target weights", shipped(mix)),
+    ("best-fit packing", shipped(pack)),
+]
 
 #: SQL can express neither the classifier nor the tokeniser; tests/llm compares with brute force.
 ORACLE_SQL = None
