@@ -194,3 +194,17 @@ def test_op9_recall_and_scores(spark):
         hit += len(set(got.vec_id) & set(ids[keep][order]))
         total += 20
     assert hit / total >= 0.9
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    r = con.sql(Q.ORACLES[name])
+    cols = sorted(r.columns)
+    want = sorted(tuple(x[r.columns.index(c)] for c in cols) for x in r.fetchall())
+    df = Q.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == cols
+    assert sorted(tuple(x[c] for c in cols) for x in df.collect()) == want
