@@ -90,10 +90,10 @@ def zip_shortest(spark, d):
     return M.zipped(episodes(spark, d).select("episode", "t", "l_quantity"), o, ["episode"], "t")
 
 
-@query("""WITH RECURSIVE l AS (SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey > 0 THEN CAST((p_partkey - 1) // 3 AS BIGINT) END AS parent FROM part WHERE p_partkey < 300),
+@query("""WITH RECURSIVE l AS (SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey > 0 THEN CAST((p_partkey - 1) // 3 AS BIGINT) END AS parent FROM part),
 c AS (SELECT node, parent AS ancestor, 1 AS steps FROM l WHERE parent IS NOT NULL UNION ALL SELECT c.node, l.parent, steps + 1 FROM c JOIN l ON c.ancestor = l.node WHERE l.parent IS NOT NULL) SELECT * FROM c""")
 def recursive_chain(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 300")
+    p = table(spark, d, "part")
     links = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 0, F.floor((F.col("p_partkey") - 1) / 3)).alias("parent"))
     return M.ancestors(links, "node", "parent")
 

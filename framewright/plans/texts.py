@@ -147,10 +147,10 @@ def generic_summary(spark, d):
 _anchor = C.column(lambda s: " ".join(sorted(C.anchors(C.Phrase(s)))))
 
 
-@query(f"WITH {_CAP} SELECT cap_id, split_part(text, ' ', 4) AS noun FROM cp WHERE cap_id % 3 <> 0 AND cap_id % 7 <> 0 AND split_part(text, ' ', 3) IN ('small', 'red', 'green', 'blue')")
+@query(f"""WITH x AS (SELECT p_partkey AS cap_id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT cap_id, CASE WHEN a IN ({', '.join(f"'{w}'" for w in sorted(V.WEAK_ADJECTIVES))}) THEN b ELSE least(a, b) || ' ' || greatest(a, b) END AS noun FROM x""")
 def anchor_nouns(spark, d):
-    c = captions(spark, d).filter("cap_id % 3 <> 0 and cap_id % 7 <> 0").filter(F.split("text", " ")[2].isin("small", "red", "green", "blue"))
-    return c.select("cap_id", _anchor(F.col("text")).alias("noun"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("cap_id"), _anchor(F.concat(F.lit("pick up the "), F.col("p_name"), F.lit(" from the table"))).alias("noun"))
 
 
 @query("""WITH q AS (SELECT p_partkey AS cap_id, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE p_name END AS l, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS r, CASE WHEN p_partkey % 6 = 0 THEN p_type ELSE 'n/a' END AS b FROM part),
