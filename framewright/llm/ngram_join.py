@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from framewright.llm import common
 from framewright.llm.common import components, dropped, small_batches, stored
 
-SKETCH, SLICE = 1 << 21, 1 << 15
+SKETCH, SLICE = 1 << 23, 1 << 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -52,12 +52,13 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint16)
         for _, sets in _sets(batches, k):
-            total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            cut = np.minimum(total, 65535).astype("<u2").reshape(-1, SLICE)
-            yield pa.record_batch([pa.array(range(len(cut)), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "counts"])
+            at, n = np.unique((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int32), return_counts=True)
+            total[at] += np.minimum(n, 65535 - total[at]).astype(np.uint16)
+        for i, c in enumerate(total.reshape(-1, SLICE)):
+            if c.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([c.astype("<u2").tobytes()], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -65,14 +66,16 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
             for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.frombuffer(c.as_buffer(), "<u2").astype(np.int64)
                 sums[i] = sums[i] + x if i in sums else x
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+        for i, x in sums.items():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).repartition(16, "slice").mapInArrow(add, kind)
-    total = np.zeros(SKETCH, np.int64)
-    for r in parts.collect():
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
-    usual = total.mean() + 8 * np.sqrt(total.mean()) + 8
+    total = np.zeros(SKETCH, np.int32)
+    with small_batches(docs.sparkSession, 2000):
+        parts = docs.select("text").mapInArrow(count, kind).repartition(16, "slice").mapInArrow(add, kind).collect()
+    for r in parts:
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i4")
+    usual = total.mean() + 6 * np.sqrt(total.mean()) + 6
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / usual)) + 1).clip(0, 30).astype(np.uint8)
 
 
