@@ -5,7 +5,8 @@ the columns of `documents`; the last returns the packed pieces. run() applies th
 writing each result as Parquet in the shared folder and reading it again.
 
 Decisions: the classifier's rejects go (null texts are scored like empty ones); of the documents
-linked by the n-gram join the one with the component's id stays (of repeated ids one row);
+linked by the n-gram join the one with the component's id stays (of repeated ids one row; rows
+without an id stay);
 repeated bytes are cut out of the texts (bytes that no longer form UTF-8 at a cut become U+FFFD),
 and texts that lose everything go, unless they were empty before; mixing repeats a document as
 often as the sample takes it; packing places all pieces.
@@ -30,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram join."""
     heads = ngram_join.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(COLUMNS)
 
 
 def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,11 @@ def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    # null ids may repeat: equal rows are one here, with the copies of all of them
+    rows = docs.filter("doc_id is not null").unionByName(docs.filter("doc_id is null").dropDuplicates(COLUMNS)).withColumn("tie", F.xxhash64("text"))
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("same")).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["id"]) & (rows["tie"] == taken["same"]))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
