@@ -7,9 +7,9 @@ give BITS-bit codes, split into bytes, each of which indexes every row of a bloc
 
 A query probes, in every byte's table, all values within floor(radius / bytes) bits of its own; by
 the pigeonhole principle it so meets every code within the radius. Codes within the radius are
-ranked by the exact inner product in double precision. The radius climbs a ladder until `k` codes
-are met; the last rung is fitted on the sample, so that it holds TARGET of the sample's true
-neighbours.
+ranked by the exact inner product in double precision. The radius climbs a ladder until it covers,
+with a margin, the codes to be expected at the k-th best angle found so far; the last rung is
+fitted on the sample, so that it holds TARGET of the sample's true neighbours.
 
 Rows are dealt into blocks of at most about BLOCK_ROWS, queries into blocks of QUERY_ROWS; each
 pair of blocks is one group, which gives each query its `k` best, and the best of all blocks are
@@ -89,6 +89,12 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rows
     return ids[rows[order]], score[order]
 
 
+def reach(cosine: float, bits: int = BITS, sigmas: float = 2.5) -> float:
+    """Bits by which the code of a vector at this angle differs, with a margin: a bit flips with probability angle / pi."""
+    p = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    return bits * p + sigmas * np.sqrt(bits * p * (1 - p))
+
+
 def learn(x: np.ndarray, top: float, k: int, bits: int = BITS) -> tuple[np.ndarray, list[int]]:
     """Rotations and the ladder of radii, from a sample of vectors."""
     rng = np.random.default_rng(SEED)
@@ -139,9 +145,13 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
             q = np.stack(queries["v"].to_numpy())
             codes = encode(np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]), maps)
             for own, vector, code in zip(queries["vec_id"], q, codes, strict=True):
+                norm = np.linalg.norm(vector)
                 for radius in ladder:
                     found = table.within(code, radius)
-                    if (ids[found] != own).sum() >= k:
+                    if radius == ladder[-1] or len(found) <= k:
+                        continue
+                    _, near = best(vector, own, ids, vectors, found, k)
+                    if len(near) == k and reach(near[-1] / (norm * top)) <= radius:
                         break
                 if len(found) < len(ids) and (ids[found] != own).sum() < k:
                     found = np.arange(len(ids))  # too few within the last radius: the whole block
