@@ -179,10 +179,11 @@ def test_word_cache_equals_the_tokenizer():
     assert got == want
 
 
-def test_op9_recall_and_scores(spark):
-    table = pd.read_parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_op9_recall_and_scores(spark, sf):
+    table = pd.read_parquet(f"{sf}/embeddings.parquet")
     x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
-    out = Q.op9_multi_index_hashing(spark, SF).toPandas()
+    out = Q.op9_multi_index_hashing(spark, sf).toPandas()
     hit = total = 0
     for q in ids[ids % 20 == 0]:
         s = x @ x[ids == q][0]

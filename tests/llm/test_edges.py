@@ -177,7 +177,9 @@ def test_vectors(spark):
     assert mih.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_ngram_join(docs, empty):
+@pytest.mark.parametrize("wide", [256, 0])
+def test_ngram_join(docs, empty, monkeypatch, wide):
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     out = ngram_join.join(docs).collect()
     want = brute_components(list(enumerate(t for _, t in RAW)))
     ids = [k for k, _ in RAW]
@@ -188,3 +190,20 @@ def test_ngram_join(docs, empty):
     key = lambda r: tuple(-(10**9) if x is None else x for x in r)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=key) == sorted(((ids[i], want[i][0], least[i]) for i in want), key=key)
     assert ngram_join.join(empty).count() == 0
+
+
+@pytest.mark.parametrize("wide", [256, 2])
+def test_ngram_join_of_a_near_copy_family(spark, monkeypatch, wide):
+    """Variants of one text, of which only some pairs link, and texts that share a passage."""
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    rng, base = np.random.default_rng(9), _text(40, 60).split(" ")
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.choice(60, 3, replace=False):
+            w[j] = f"v{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, _text(200 + i, 20) + " " + " ".join(base[:25])) for i in range(40)]
+    want = brute_components(rows)
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
