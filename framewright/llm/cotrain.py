@@ -168,8 +168,8 @@ def cotrain(dense: np.ndarray, words: list[np.ndarray], meta: np.ndarray, y: np.
     rate = (bad + 5 * base) / (bad + good + 5)
     deviation = (bad - (bad + good) * base) / np.sqrt((bad + good) * base * (1 - base) + 1)
     model.evidence = np.stack([np.log(rate / (1 - rate)) - np.log(base / (1 - base)), deviation]).astype(np.float32)
-    first = np.cumsum([0, *map(len, words)])
-    dense = np.hstack([dense, model.lexical(np.concatenate(words).astype(np.uint64), first)])
+    parts = [words[i : i + 500] for i in range(0, len(words), 500)]  # the driver holds few rows' evidence at once
+    dense = np.hstack([dense, np.vstack([model.lexical(np.concatenate(p).astype(np.uint64), np.cumsum([0, *map(len, p)])) for p in parts])])
     train, held, pool = np.flatnonzero(fold == 2), np.flatnonzero(fold == 3), np.flatnonzero(y < 0)
     model.edges = np.quantile(dense[train], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     views = [model.binned(dense), meta]
