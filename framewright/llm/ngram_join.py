@@ -34,6 +34,10 @@ from framewright.llm import common
 from framewright.llm.common import components, dropped, small_batches, stored
 
 SKETCH, SLICE = 1 << 23, 1 << 16
+#: Classes of the sketch up to which a shingle has one lane (some hundred postings).
+PLAIN = 6
+#: Frequent prefix keys up to which a posting carries its text's list of them.
+WIDE = 256
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -158,12 +162,14 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     posts = some.join(groups.select("gid"), F.col("row") == F.col("gid"))
     posts = posts.select("gid", "n", F.element_at("keys", -1).alias("end"), F.posexplode("keys").alias("pos", "tok"))
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.15)).cast("int")
-    lane = F.when(F.shiftrightunsigned("tok", 58) > 0, F.pmod(F.xxhash64("gid"), F.expr("shiftleft(1, cast(least(shiftrightunsigned(tok, 58), 16) as int))"))).otherwise(0)
+    lane = F.when(F.shiftrightunsigned("tok", 58) > PLAIN, F.pmod(F.xxhash64("gid"), F.expr(f"shiftleft(1, cast(least(shiftrightunsigned(tok, 58) - {PLAIN}, 16) as int))"))).otherwise(0)
     posts = posts.withColumn("band", band).withColumn("lane", lane.cast("int"))
     # postings of a frequent shingle are dealt by lane, so a task holds a lane's share of it
     at = Window.partitionBy("tok", "lane")
-    shared = posts.withColumn("here", F.count(F.lit(1)).over(at)).filter("here > 1 or lane > 0 or shiftrightunsigned(tok, 58) > 0").drop("here")
+    shared = posts.withColumn("here", F.count(F.lit(1)).over(at)).filter(f"here > 1 or shiftrightunsigned(tok, 58) > {PLAIN}").drop("here")
     shared = stored(shared, "jaccard-postings")
+    sig, prefixes = stored(sig.drop("keys"), "jaccard-sizes"), sig
+    dropped(prefixes)
 
     def led(posts: DataFrame, by: list[str], first) -> DataFrame:
         """Pairs (a: leader, b) with the number of shingles under which they were paired."""
@@ -173,7 +179,7 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
 
     sized = "4 * least(na, nb) >= 3 * greatest(na, nb)"
     stars = led(shared, ["lane", "band"], F.col("gid"))
-    tops = shared.filter("shiftrightunsigned(tok, 58) > 0").groupBy("tok", "lane", "band").agg(F.min(F.struct("gid", "n")).alias("x")).select("tok", "band", "x.gid", "x.n")
+    tops = shared.filter(f"shiftrightunsigned(tok, 58) > {PLAIN}").groupBy("tok", "lane", "band").agg(F.min(F.struct("gid", "n")).alias("x")).select("tok", "band", "x.gid", "x.n")
     stars = stars.union(led(tops, ["band"], F.col("gid"))).filter(sized)
     # a leader leads most of the shared shingles, so pairs under few of them are left to step 4
     stars = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).filter("20 * c >= least(na, nb)").select("a", "b")
@@ -196,13 +202,25 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     links.append(_linked(stored(again, "jaccard-pairs"), docs, k))
     label = _labels(bare, links)
 
-    left = stored(mixed(label), "jaccard-mixed")
-    x = left.select("tok", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("end").alias("ea"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    y = left.select(F.col("tok").alias("tok2"), F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("end").alias("eb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    near = x.join(y, F.expr("tok = tok2 and a < b and 4 * least(na, nb) >= 3 * greatest(na, nb) and not (la = ha and lb = hb and la = lb) and 7 * (least(pa, pb) + least(na - pa, nb - pb)) >= 3 * (na + nb)"))
-    near = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
+    # frequent keys would make a pair again and again: their postings carry the text's list of them,
+    # so a pair is made under the first common one alone, with the number of all. A list of more
+    # than WIDE keys is not repeated in every row; such texts are counted key by key. The numbers
+    # of shared keys (m, of them h frequent) bound the overlap before anything is made.
+    left = mixed(label)
+    hot = F.shiftrightunsigned("tok", 58) > 0
+    keys = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if(hot).alias("h"), F.sort_array(F.collect_list(F.when(hot, F.col("tok")))).alias("toks"))
+    keys = keys.withColumn("toks", F.when(F.size("toks").between(1, WIDE), F.col("toks")))
+    left = stored(left.join(keys, "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
+    names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h"}
+    side = lambda z, tok: left.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
     prefix = lambda n: f"({n} - floor((3 * {n} + 3) / 4) + 1)"
-    near = near.filter(f"7 * (c + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)").select("a", "b")
+    enough = lambda c: f"7 * ({c} + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)"
+    fits = "a < b and 4 * least(na, nb) >= 3 * greatest(na, nb) and not (la = ua and lb = ub and la = lb) and 7 * (least(pa, pb) + least(na - pa, nb - pb)) >= 3 * (na + nb)"
+    once = f"try_element_at(array_intersect(ta, tb), 1) = tok and {enough('size(array_intersect(ta, tb)) + least(ma - ha, mb - hb)')}"
+    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and {fits} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
+    near = near.withColumn("c", F.expr("case when ta is null or tb is null then 1 else size(array_intersect(ta, tb)) end"))
+    near = near.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
+    near = near.filter(enough("c")).select("a", "b")
     # groups of one prefix and size pair their own members too
     near = near.union(bare.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     mine, other = label.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx")), label.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
