@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+#: Bytes up to which a range is hashed by its prefix sums.
+SHORT = 64
 #: Word separators: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,24 +43,53 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the application ends."""
+    path = f"{scratch_dir(spark)}/framewright/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        fs, p = _hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+    """Write df to the shared folder and read it back, which cuts its lineage.
+
+    Operators drop such a table once nothing lazy reads it; the rest is deleted when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/framewright/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out
 
 
-def dropped(*tables: DataFrame) -> None:
+def dropped(*tables: DataFrame | None) -> None:
     """Delete tables made by stored() that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_framewright_path", None)
         if path:
-            jvm = t.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _hadoop(t.sparkSession, path)
+            fs.delete(p, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of tables that nothing refers to any more."""
+    for _ in range(2):  # what the first round frees can hold other tables
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,11 +97,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc_id, text) with a unique long `row`: the id itself, unless ids repeat or are null."""
+    """Rows with a unique long `row`: doc_id itself, unless ids repeat or are null; and whether it is.
+
+    Else the rows are numbered by task and place and written, so that every later reader sees the same
+    numbers and no task gathers the rows of one id.
+    """
     if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count():
         return rows.withColumn("row", F.col("doc_id").cast("long")), True
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return stored(rows.withColumn("row", F.xxhash64("doc_id", F.row_number().over(w))), "numbered"), False
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), False
 
 
 @contextlib.contextmanager
@@ -167,13 +204,20 @@ class Prefix:
     def __init__(self, buf: np.ndarray, fold: bool = False):
         value, lower, _, _, _ = _tables()
         self.up, self.down = _pow(len(buf))
-        v = value[lower[buf]] if fold else value[buf]
+        self.bytes = lower[buf] if fold else buf
+        v = value[self.bytes]
         v *= self.up[: len(buf)]
         self.sum = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(v, out=self.sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64))
+        """Of each range; beyond SHORT bytes by another hash, as sums modulo 2**64 of long regular texts can agree."""
+        out = mix((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start > SHORT)
+        if len(long):
+            raw, digest = self.bytes.tobytes(), xxhash.xxh3_64_intdigest
+            out[long] = np.fromiter((digest(raw[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+        return out
 
     def all(self, k: int) -> np.ndarray:
         """Of every range of k bytes, by start."""
@@ -210,25 +254,68 @@ def shingles(word: np.ndarray, k: int) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+class Forest:
+    """Union-find over the nodes that a task has met; begins anew beyond LIMIT nodes, which costs links and no result."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def joined(self, a: int, b: int) -> bool:
+        return self.root(a) == self.root(b)
+
+    def join(self, a: int, b: int) -> None:
+        if len(self.up) > self.LIMIT:
+            self.up.clear()
+        x, y = self.root(a), self.root(b)
+        self.up[max(x, y)] = min(x, y)
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Of links (a, b) those that each task needs to join what it has: fewer than its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Forest()
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(new := not own.joined(a, b))
+                if new:
+                    own.join(a, b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Node and smallest node of its component, for edges (a, b) of longs.
+    """Node and smallest node of its component (stored; without the roots), for edges (a, b) of longs.
 
     Alternates the large-star and small-star steps until the edges point at their roots. Hot
-    nodes only meet in minima, which are combined before the shuffle, and in joins, which AQE
-    splits. Each round is written to the shared folder.
+    nodes only meet in minima, which are combined before the shuffle, and in sort-merge joins of
+    plain tables, which AQE splits. Each round is written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = stored(e, "edges")
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # written, so that the join reads two plain tables and AQE can split a hot node
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "edges")
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
+        small = large.join(root.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
         e, old = stored(small, "edges"), e
-        dropped(old)
+        dropped(old, least)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._framewright_path = e._framewright_path
+            return out
         last = now

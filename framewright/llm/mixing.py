@@ -14,10 +14,13 @@ their words come nearest to the rest of the source's target: a sample of fixed s
 unequal probabilities, of which the same rows always give the same result.
 
 No group is sorted as a whole. Keys are counted in BINS bins; all documents in bins under the one
-where the target falls are taken, and only that bin's rows are ordered.
+where the target falls are taken, that bin is counted in BINS bins again, and only the rows of one of
+these are ordered.
 
-Null text: 0 words, taken 0. Null source: a source of its own, the last. Rows that repeat with the
-same id tie in u and are ordered by size and text hash. Empty input: no rows.
+Null text: 0 words, taken 0. Null source: a source of its own, the last. Null ids and rows that repeat
+an id differ by their texts; rows that repeat both tie and are ordered by size and text hash. Very long
+texts are counted in the JVM, one at a time. Empty table: no rows. Other columns, whatever their names, do
+not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WORD, stored
+from framewright.llm.common import WORD, dropped, stored
 
 BINS, CLASS_WEIGHT = 1024, 1.05
 
@@ -48,21 +51,23 @@ def water_level(df: DataFrame, group: list[str], weight: str, cap: str, total: C
     return df.withColumn(out, F.when(F.col("wl_level") < F.col("wl_full"), F.col("wl_common") * F.col(weight)).otherwise(F.col(cap))).drop("wl_total", "wl_full", "wl_level", "wl_common")
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """In (0, 1), from the first 52 bits of an MD5 of the seed and the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(id_col: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the first 52 bits of an MD5 of the seed, the id and the text's MD5."""
+    name = lambda c: F.coalesce(c, F.lit("null"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name(id_col.cast("string")), F.lit(":"), name(F.md5(text.cast("binary")))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, row_col: str | None = None) -> DataFrame:
     """The columns that sampling needs, without the texts."""
+    more = [F.col(row_col).alias("row")] if row_col else []
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"), uniform(F.col(id_col), seed).alias("u"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"), *more)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7, **cols: str) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, copies, tie."""
-    rows = stored(measured(docs, seed=seed, **cols), "mix-rows")
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7, row_col: str | None = None, **cols: str) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, taken, copies, tie, and with row_col (unique longs) row."""
+    rows = kept = stored(measured(docs, seed=seed, row_col=row_col, **cols), "mix-rows")
     rows = rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) + 1e-9)).otherwise(-1).cast("int"))
     classes = stored(rows.groupBy("source", "class").agg(F.sum("size").cast("double").alias("words")), "mix-classes")
     sources = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -80,20 +85,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # joined by AQE's choice: the plan has a row for each source and power of two
     out = rows.join(per, rows["source"].eqNullSafe(per["s"]) & (rows["class"] == per["c"])).drop("s", "c")
     key = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    out = out.withColumn("key", F.when(F.col("p") > 0, key)).withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("key") / (1 + F.col("key")) * BINS).cast("int")))
+    share = F.col("key") / (1 + F.col("key")) * BINS
+    bin_ = lambda x: F.least(F.floor(x), F.lit(BINS - 1)).cast("int")
+    out = out.withColumn("key", F.when(F.col("p") > 0, key)).withColumn("bin", F.when(F.col("p") > 0, bin_(share))).withColumn("sub", bin_((share - F.col("bin")) * BINS))
     out = stored(out, "mix-keys")
+    dropped(kept, classes, per)
+
+    def reached(parts: DataFrame, by: str, below: Column) -> DataFrame:
+        """src_no, by, below: the part in which a source's words reach the rest, and the words before it."""
+        upto = Window.partitionBy("src_no").orderBy(by)
+        parts = parts.withColumn("below", F.sum("words").over(upto) - F.col("words") + below)
+        # none, if rounding leaves all words just short of it
+        return parts.filter("below + words >= rest and below < rest").groupBy("src_no").agg(F.min_by(F.struct(by, "below"), by).alias("cut")).select("src_no", F.col(f"cut.{by}").alias(f"cut_{by}"), F.col("cut.below").alias(f"below_{by}"))
+
     bins = out.filter("p > 0").groupBy("src_no", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("src_no").orderBy("bin")
-    bins = bins.withColumn("below", F.sum("words").over(upto) - F.col("words"))
-    # the bin in which the words reach the rest; none, if rounding leaves all words just short of it
-    cut = bins.filter("below + words >= rest and below < rest").groupBy("src_no").agg(F.min_by(F.struct("bin", "below"), "bin").alias("cut")).select("src_no", "cut.bin", "cut.below")
-    cut = stored(cut.withColumnRenamed("bin", "cut_bin"), "mix-cuts")
-    out = out.join(cut, "src_no", "left")
+    cut = stored(reached(bins, "bin", F.lit(0)), "mix-cuts")
+    subs = out.filter("p > 0").join(cut, "src_no").filter("bin = cut_bin").groupBy("src_no", "sub").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("below_bin").alias("base"))
+    cuts = stored(cut.join(reached(subs, "sub", F.col("base")), "src_no"), "mix-cuts")
+    dropped(cut)
+    out = out.join(cuts, "src_no", "left")
     edge = Window.partitionBy("src_no").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = out.filter("bin = cut_bin").withColumn("run", F.col("below") + F.sum("size").over(edge))
+    cell = "bin = cut_bin and sub = cut_sub"
+    at = out.filter(cell).withColumn("run", F.col("below_sub") + F.sum("size").over(edge))
     # the document at the edge comes in if that is nearer than leaving it out
     at = at.withColumn("more", (F.col("run") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("run")
-    away = out.filter("bin is null or cut_bin is null or bin <> cut_bin").withColumn("more", F.coalesce((F.col("bin") < F.coalesce("cut_bin", F.lit(BINS + 1))).cast("long"), F.lit(0)))
+    away = out.filter(f"not coalesce({cell}, false)").withColumn("more", F.when(F.col("bin").isNull(), 0).when(F.col("cut_bin").isNull(), 1).otherwise(((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("sub") < F.col("cut_sub")))).cast("long")))
     out = away.unionByName(at)
     out = out.withColumn("copies", (F.col("certain") + F.col("more")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "tie")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "tie", *(["row"] if row_col else []))

@@ -10,15 +10,23 @@ size; a miscount costs time, never a link), then goes by hash.
 1. Equal sets become one node (smallest id); nodes of equal size and prefix become one group.
 2. Groups post their prefixes. Groups that share a shingle are paired with one leader of their
    size band, not with each other; frequent shingles lead by lanes, then among lane leaders.
-   Pairs that pass the bound are expanded to members and verified on the whole sets.
-3. Components of the verified links; once more with leaders drawn by hash among the shingles that
-   still join different components.
-4. What the leaders cannot show: all pairs of nodes that share a shingle, lie in different
-   components and pass the size, position and overlap bounds, expanded and verified. This step
-   makes the result exact; the earlier ones only leave it little to do in groups of near copies.
+   Pairs that share enough shingles are verified on the whole sets.
+3. Components of the verified links. Then leaders are drawn anew, TURNS of them for the shingles of
+   a text, and only texts of other components are paired with them; again while many pairs link.
+   Families of near copies, loose ones too, so join by a few links for each text.
+4. What the leaders cannot show: all pairs of groups that share a shingle, hold different
+   components and pass the size, position and overlap bounds. They are expanded to members and
+   verified in three lots: some for each group, drawn by hash, more of them, then all that still lie
+   apart. This step makes the result exact; the earlier ones leave it little to do.
+
+Of the links that a task verifies it hands on those that join what it has seen (a forest), and a
+pair that these join already is not verified, so links grow with the texts and not with the pairs.
 
 Null, empty and wordless texts: the empty set, their own component. Fewer than k words: one
-shingle of all. Repeated ids: each row counts by its own text. Long texts: a worker holds one block.
+shingle of all. Repeated ids: each row counts by its own text; rows without an id belong to components
+like others (component_id: the smallest id in it, null if it has none). Ties: the order of shingles is
+total. Empty table: no rows. Other columns, whatever their names, do not matter. Very long texts: a
+worker holds one block, or one longer text. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,17 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm import common
-from framewright.llm.common import components, dropped, small_batches, stored
+from framewright.llm.common import components, dropped, released, small_batches, stored
 
 SKETCH, SLICE = 1 << 23, 1 << 16
 #: Classes of the sketch up to which a shingle has one lane (some hundred postings).
 PLAIN = 6
 #: Frequent prefix keys up to which a posting carries its text's list of them.
 WIDE = 256
+#: Leaders drawn for the shingles of a text, rounds of them at most, candidates of a group in the first lots.
+TURNS, ROUNDS, LOTS = 8, 6, (16, 256)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -52,7 +62,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Class of each of SKETCH buckets: 0 for common counts, then the power of two over them.
 
-    One table of 16-bit counts for each task, summed slice by slice; the driver gets SKETCH numbers.
+    One table of 16-bit counts for each task, summed and classed slice by slice in the executors; the
+    driver gets one byte for a bucket.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,20 +82,27 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
                 x = np.frombuffer(c.as_buffer(), "<u2").astype(np.int64)
                 sums[i] = sums[i] + x if i in sums else x
         for i, x in sums.items():
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "counts"])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([int(x.sum())], pa.int64()), pa.array([np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "total", "counts"])
 
-    kind = "slice int, counts binary"
-    total = np.zeros(SKETCH, np.int32)
     with small_batches(docs.sparkSession, 2000):
-        parts = docs.select("text").mapInArrow(count, kind).repartition(16, "slice").mapInArrow(add, kind).collect()
-    for r in parts:
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i4")
-    usual = total.mean() + 6 * np.sqrt(total.mean()) + 6
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / usual)) + 1).clip(0, 30).astype(np.uint8)
+        sums = stored(docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, total long, counts binary"), "shingle-counts")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / SKETCH
+    usual = mean + 6 * mean**0.5 + 6
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [(np.log2(np.maximum(np.frombuffer(c.as_buffer(), "<i4"), 1) / usual) // 1 + 1).clip(0, 30).astype(np.uint8).tobytes() for c in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(x, pa.binary())], names=["slice", "classes"])
+
+    out = np.zeros(SKETCH, np.uint8)
+    for r in sums.select("slice", "counts").mapInArrow(classed, "slice int, classes binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["classes"], np.uint8)
+    dropped(sums)
+    return out
 
 
 def signatures(docs: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
-    """row, doc_id, n, f1, f2 (128 bits that name the set), ph (hash of the prefix), keys (the prefix, in order)."""
+    """row, doc_id, n, f1, f2 (128 bits that name the set), ph (hash of the prefix), keys (the prefix, in order); stored."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +123,9 @@ def signatures(docs: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
             yield pa.record_batch([*part.columns[:2], pa.array(n, pa.int64()), long(f1), long(f2), long(ph), keys], names=["row", "doc_id", "n", "f1", "f2", "ph", "keys"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, ph long, keys array<long>")
+    out = stored(docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, ph long, keys array<long>"), "jaccard-prefixes")
+    held.destroy()
+    return out
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -115,24 +135,31 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for part, sets in _sets(batches, k):
             yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "keys"])
 
-    own = docs.join(nodes.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
+    own = docs.join(nodes.select(F.col("node").alias("row")).distinct().hint("merge"), "row", "left_semi").select("row", "text")
     return own.mapInArrow(run, "node long, keys binary")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes those that link, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes those that link, by their whole sets; of each task's a forest. Stored."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     sets = stored(_whole_sets(docs, nodes, k), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("keys").alias("k" + x)).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = common.Forest()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * same >= 75 * (len(x) + len(y) - same))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                link = False
+                if not own.joined(a, b):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    at = np.searchsorted(x, y)
+                    same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                    link = 100 * same >= 75 * (len(x) + len(y) - same)
+                    if link:
+                        own.join(a, b)
+                keep.append(link)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with small_batches(docs.sparkSession):
@@ -141,98 +168,151 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _labels(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """node, gid, n, comp."""
-    e = links[0]
-    for x in links[1:]:
-        e = e.unionByName(x)
-    c = components(e)
-    return stored(nodes.join(c, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "jaccard-labels")
+class Labels:
+    """The component of every node, from the links given so far."""
 
+    def __init__(self, nodes: DataFrame, docs: DataFrame, k: int):
+        self.nodes, self.docs, self.k, self.star, self.table = nodes, docs, k, None, None
+
+    def add(self, pairs: DataFrame) -> tuple[int, int]:
+        """Verify pairs (a, b) of nodes, join components; numbers of pairs and of links handed on."""
+        pairs = stored(pairs, "jaccard-pairs")
+        tried = pairs.count()
+        links, made = None, 0
+        if tried:
+            links = verified(pairs, self.docs, self.k)
+            made = links.count()
+        dropped(pairs)
+        if made or self.table is None:
+            own = links if links is not None else self.nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+            star = components(own if self.star is None else own.union(self.star.select("node", "root")))
+            table = stored(self.nodes.select("node", "gid").join(star.hint("merge"), "node", "left").select("node", "gid", F.coalesce("root", "node").alias("comp")), "jaccard-labels")
+            dropped(self.star, self.table)
+            self.star, self.table = star, table
+        dropped(links)
+        return tried, made
+
+    def ranges(self) -> DataFrame:
+        """gid, and its smallest and largest component."""
+        return self.table.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+
+
+#: Groups a and b hold more than one component.
+APART = "not (la = ua and lb = ub and la = lb)"
+SIZED = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+PLACED = "7 * (least(pa, pb) + least(na - pa, nb - pb)) >= 3 * (na + nb)"
 
-def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row; ids must be integers."""
-    docs, unique = common.numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    sig = stored(signatures(docs, k, count_sketch(docs, k)), "jaccard-prefixes")
-    some = sig.filter("n > 0")
-    nodes = some.groupBy("n", "f1", "f2", "ph").agg(F.min("row").alias("node"))
-    groups = nodes.groupBy("n", "ph").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
-    nodes = stored(nodes.join(groups, ["n", "ph"]).select("node", "gid", "n", "f1", "f2", "members"), "jaccard-nodes")
-    groups = nodes.filter("node = gid")
-    posts = some.join(groups.select("gid"), F.col("row") == F.col("gid"))
-    posts = posts.select("gid", "n", F.element_at("keys", -1).alias("end"), F.posexplode("keys").alias("pos", "tok"))
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.15)).cast("int")
-    lane = F.when(F.shiftrightunsigned("tok", 58) > PLAIN, F.pmod(F.xxhash64("gid"), F.expr(f"shiftleft(1, cast(least(shiftrightunsigned(tok, 58) - {PLAIN}, 16) as int))"))).otherwise(0)
-    posts = posts.withColumn("band", band).withColumn("lane", lane.cast("int"))
-    # postings of a frequent shingle are dealt by lane, so a task holds a lane's share of it
-    at = Window.partitionBy("tok", "lane")
-    shared = posts.withColumn("here", F.count(F.lit(1)).over(at)).filter(f"here > 1 or shiftrightunsigned(tok, 58) > {PLAIN}").drop("here")
-    shared = stored(shared, "jaccard-postings")
-    sig, prefixes = stored(sig.drop("keys"), "jaccard-sizes"), sig
-    dropped(prefixes)
 
-    def led(posts: DataFrame, by: list[str], first) -> DataFrame:
-        """Pairs (a: leader, b) with the number of shingles under which they were paired."""
-        w = Window.partitionBy("tok", *by)
-        p = posts.withColumn("lead", F.min(F.struct(first.alias("o"), F.col("gid"), F.col("n"))).over(w)).filter("lead.gid <> gid")
+def _lane(turn: int) -> Column:
+    """Lane of a posting: several for a frequent shingle, so that a task holds a share of its texts."""
+    rank = F.shiftrightunsigned("tok", 58)
+    return F.when(rank > PLAIN, F.pmod(F.xxhash64("gid", F.lit(turn)), F.expr(f"shiftleft(1, cast(least(shiftrightunsigned(tok, 58) - {PLAIN}, 16) as int))"))).otherwise(0).cast("int")
+
+
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a: leader, b) by the smallest group of each lane, and of the lanes' leaders."""
+
+    def led(posts: DataFrame, by: list[str]) -> DataFrame:
+        p = posts.withColumn("lead", F.min(F.struct("gid", "n")).over(Window.partitionBy("tok", *by))).filter("lead.gid <> gid")
         return p.select(F.col("lead.gid").alias("a"), F.col("lead.n").alias("na"), F.col("gid").alias("b"), F.col("n").alias("nb"))
 
-    sized = "4 * least(na, nb) >= 3 * greatest(na, nb)"
-    stars = led(shared, ["lane", "band"], F.col("gid"))
     tops = shared.filter(f"shiftrightunsigned(tok, 58) > {PLAIN}").groupBy("tok", "lane", "band").agg(F.min(F.struct("gid", "n")).alias("x")).select("tok", "band", "x.gid", "x.n")
-    stars = stars.union(led(tops, ["band"], F.col("gid"))).filter(sized)
-    # a leader leads most of the shared shingles, so pairs under few of them are left to step 4
-    stars = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).filter("20 * c >= least(na, nb)").select("a", "b")
-    inner = nodes.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    links = [_linked(stored(stars.union(inner), "jaccard-pairs"), docs, k)]
-    bare = nodes.select("node", "gid", "n", "members")
-    label = _labels(bare, links)
-
-    def mixed(label: DataFrame) -> DataFrame:
-        """Postings of shingles that still join different components."""
-        p = shared.join(label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "gid")
-        t = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).filter("tlo <> thi").select("tok")
-        return p.join(t, "tok", "left_semi")
-
-    left = stored(mixed(label), "jaccard-mixed")
-    again = led(left.select("tok", "lane", "band", "gid", "n", "lo"), ["lane", "band"], F.xxhash64("gid", "tok")).filter(sized)
-    again = again.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count(F.lit(1)).alias("c")).filter("40 * c >= least(na, nb)").select("a", "b")
-    of = label.select("node", "comp")
-    again = again.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb").select("a", "b")
-    links.append(_linked(stored(again, "jaccard-pairs"), docs, k))
-    label = _labels(bare, links)
-
-    # frequent keys would make a pair again and again: their postings carry the text's list of them,
-    # so a pair is made under the first common one alone, with the number of all. A list of more
-    # than WIDE keys is not repeated in every row; such texts are counted key by key. The numbers
-    # of shared keys (m, of them h frequent) bound the overlap before anything is made.
-    left = mixed(label)
+    pairs = led(shared, ["lane", "band"]).union(led(tops, ["band"])).filter(SIZED)
+    # a leader leads most of the shared shingles, so pairs under few of them are left to the later steps
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb")).filter("20 * c >= least(na, nb)").select("a", "b")
+
+
+def drawn_pairs(shared: DataFrame, ranges: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a: leader, b) of different components; a text's shingles fall into TURNS parts, each with its own order of leaders.
+
+    Of linked texts a part's shingles agree mostly, so a pair under less than about a quarter of them is left out.
+    """
+    p = shared.withColumn("lane", _lane(turn)).withColumn("part", F.pmod(F.xxhash64("tok", F.lit(turn)), F.lit(TURNS))).join(ranges.hint("merge"), "gid")
+    p = p.withColumn("lead", F.min(F.struct(F.xxhash64("gid", "part", F.lit(turn)).alias("o"), "gid", "n", "pos", "lo", "hi")).over(Window.partitionBy("tok", "lane", "band")))
+    p = p.select(*[F.col(f"lead.{c}").alias(x) for c, x in (("gid", "a"), ("n", "na"), ("pos", "pa"), ("lo", "la"), ("hi", "ua"))], *[F.col(c).alias(x) for c, x in (("gid", "b"), ("n", "nb"), ("pos", "pb"), ("lo", "lb"), ("hi", "ub"))], "part")
+    p = p.filter(f"a <> b and {APART} and {SIZED} and {PLACED}")
+    p = p.groupBy("a", "b", "part").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return p.filter(f"{16 * TURNS} * c >= least(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(shared: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Every pair (a, b) of groups that share a prefix shingle, hold different components and pass the bounds.
+
+    Frequent keys would make a pair again and again: their postings carry the text's list of them, so
+    a pair is made under the first common one alone, with the number of all. A list of more than WIDE
+    keys is not repeated in every row; such texts are counted key by key. The numbers of shared keys
+    (m, of them h frequent) bound the overlap before anything is made.
+    """
+    p = shared.join(ranges.hint("merge"), "gid")
+    mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).filter("tlo <> thi").select("tok")
+    left = stored(p.join(mixed.hint("merge"), "tok", "left_semi"), "jaccard-mixed")
     hot = F.shiftrightunsigned("tok", 58) > 0
     keys = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if(hot).alias("h"), F.sort_array(F.collect_list(F.when(hot, F.col("tok")))).alias("toks"))
     keys = keys.withColumn("toks", F.when(F.size("toks").between(1, WIDE), F.col("toks")))
-    left = stored(left.join(keys, "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
+    whole = stored(left.join(keys.hint("merge"), "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
+    dropped(left)
     names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h"}
-    side = lambda z, tok: left.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
+    side = lambda z, tok: whole.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
     prefix = lambda n: f"({n} - floor((3 * {n} + 3) / 4) + 1)"
     enough = lambda c: f"7 * ({c} + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)"
-    fits = "a < b and 4 * least(na, nb) >= 3 * greatest(na, nb) and not (la = ua and lb = ub and la = lb) and 7 * (least(pa, pb) + least(na - pa, nb - pb)) >= 3 * (na + nb)"
     once = f"try_element_at(array_intersect(ta, tb), 1) = tok and {enough('size(array_intersect(ta, tb)) + least(ma - ha, mb - hb)')}"
-    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and {fits} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
+    near = side("a", "tok").hint("merge").join(side("b", "tok2").hint("merge"), F.expr(f"tok = tok2 and a < b and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
     near = near.withColumn("c", F.expr("case when ta is null or tb is null then 1 else size(array_intersect(ta, tb)) end"))
     near = near.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
-    near = near.filter(enough("c")).select("a", "b")
+    out = stored(near.filter(enough("c")).select("a", "b"), "jaccard-near")
+    dropped(whole)
+    return out
+
+
+def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; ids must be integers. With row_col (unique longs) also row and head, the smallest row of its component."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    unique = False
+    if not row_col:
+        docs, unique = common.numbered(docs)
+    sig = signatures(docs, k, count_sketch(docs, k))
+    some = sig.filter("n > 0")
+    nodes = some.groupBy("n", "f1", "f2", "ph").agg(F.min("row").alias("node"))
+    groups = nodes.groupBy("n", "ph").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
+    nodes = stored(nodes.join(groups.hint("merge"), ["n", "ph"]).select("node", "gid", "n", "f1", "f2", "members"), "jaccard-nodes")
+    posts = some.join(nodes.filter("node = gid").select("gid").hint("merge"), F.col("row") == F.col("gid"))
+    posts = posts.select("gid", "n", F.element_at("keys", -1).alias("end"), F.posexplode("keys").alias("pos", "tok"))
+    posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.15)).cast("int")).withColumn("lane", _lane(0))
+    at = Window.partitionBy("tok", "lane")
+    shared = posts.withColumn("here", F.count(F.lit(1)).over(at)).filter(f"here > 1 or shiftrightunsigned(tok, 58) > {PLAIN}").drop("here")
+    shared = stored(shared, "jaccard-postings")
+    sizes = stored(sig.drop("keys", "ph"), "jaccard-sizes")
+    dropped(sig)
+    released(docs.sparkSession)
+    labels = Labels(nodes, docs, k)
+    inner = nodes.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    labels.add(first_pairs(shared).union(inner))
+    for turn in range(1, ROUNDS + 1):
+        tried, made = labels.add(drawn_pairs(shared, labels.ranges(), turn))
+        if 50 * made < tried or not made:
+            break
+    near = all_pairs(shared, labels.ranges())
+    dropped(shared)
     # groups of one prefix and size pair their own members too
-    near = near.union(bare.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
-    mine, other = label.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx")), label.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
-    pairs = near.join(mine, "a").join(other, "b").filter("cx <> cy and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links.append(_linked(stored(pairs, "jaccard-pairs"), docs, k))
-    label = _labels(nodes.select("node", "n", "f1", "f2"), links)
-    out = sig.select("doc_id", "n", "f1", "f2").join(label.select("n", "f1", "f2", "comp"), ["n", "f1", "f2"], "left")
+    near = near.union(nodes.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    each = near.select(F.col("a").alias("gid")).union(near.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count(F.lit(1)).alias("all"))
+    side = lambda x: each.select(F.col("gid").alias(x), F.col("all").alias("all" + x)).hint("merge")
+    # place of a pair among the candidates of its less busy group, if these stood in the order of a hash
+    place = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.least("alla", "allb")
+    near = stored(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", place.alias("place")), "jaccard-near")
+    for low, high in zip((0, *LOTS), (*LOTS, None), strict=True):
+        lot = near.filter(f"place >= {low}" + (f" and place < {high}" if high else ""))
+        mine = labels.table.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx"))
+        other = labels.table.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
+        pairs = lot.join(mine.hint("merge"), "a").join(other.hint("merge"), "b").filter("cx <> cy and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        labels.add(pairs)
+    dropped(near)
+    comp = nodes.select("node", "n", "f1", "f2").join(labels.table.select("node", "comp").hint("merge"), "node").select("n", "f1", "f2", "comp")
+    out = sizes.join(comp.hint("merge"), ["n", "f1", "f2"], "left")
     if unique:
         out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
     else:  # nodes are numbers of rows then
         least = out.groupBy("comp").agg(F.min("doc_id").alias("least")).filter("comp is not null")
-        out = out.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    dropped(shared)
-    return out
+        out = out.join(least.hint("merge"), "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    more = [F.col("row"), F.coalesce("comp", "row").alias("head")] if row_col else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)

@@ -93,7 +93,7 @@ def _level(name: str, source: str, group: str, order: str, weight: str, cap: str
 
 ORACLES: dict[str, str] = {
     "op8_pareto_mixing": f"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE CAST(len({_WORDS.format('text')}) AS BIGINT) END AS size,
-(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
 e AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(log2(size::DOUBLE) + 1e-9) AS INTEGER) ELSE -1 END AS class FROM d),
 c AS (SELECT source, class, sum(size)::DOUBLE AS words FROM e GROUP BY 1, 2),
 s AS (SELECT source, sum(words) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src_no FROM c GROUP BY 1),

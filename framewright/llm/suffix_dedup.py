@@ -10,19 +10,25 @@ they are kept as one stretch of text, about one for every 68 bytes.
 
 1. Stretches are listed with the hash of their bucket and of their own bytes. A bucket with one
    stretch holds no repeat. Equal stretches of a bucket are counted, not compared.
-2. Buckets with different stretches are sorted, some at a time in a block of bounded size: by the
+2. A bucket of more than HOT bytes of different stretches (a common line in many contexts) is split
+   by a second string: the smallest hash of those that do not overlap the first; what is still larger
+   by the first and last SEED bytes. Suffixes that share `width` bytes share these, too, so no repeat
+   is lost; the parts' marks are carried back to the stretches that they came from.
+3. Buckets with different stretches are sorted, some at a time in a block of bounded size: by the
    first COVER bytes of each suffix, and where these tie, by the ranks of the difference-cover
    sample, at the distance at which both suffixes have a sample position. Sample ranks come from
    doubling within the sample (COVER divides the step, so a sample position leads to another).
    Neighbours in suffix order that share `width` bytes mark each other, by comparison of the bytes.
-3. The marked suffixes are joined back to the stretches' places, and each text loses their bytes.
+4. The marked suffixes are joined back to the stretches' places, and each text loses their bytes.
 
 Hot strings: copies of a stretch meet only in a count, which is combined before the shuffle, and
 in joins that AQE can split. A bucket of one repeated run (a long line of one letter) has equal
-stretches, too. A block keeps whole buckets; a single larger bucket is a block of its own.
+stretches, too. A block keeps whole buckets. Stretches are equal if both their bucket's hash and their
+own agree (128 bits from two kinds of hash).
 
-Null: no bytes. Texts under `width` bytes keep all. Repeated rows are repeats of each other; rows
-of one id are told apart by a row number within (id, text hash). Texts of up to 256 MB.
+Null and empty: no bytes. Texts under `width` bytes keep all. Repeated rows are repeats of each other;
+rows of one id are told apart by number. Ties of hashes go to the first place. Very long texts are
+read in segments. Empty table: no rows. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from framewright.llm import common
 from framewright.llm.common import dropped, stored
 
 SEED, COVER, WORK = 64, 64, 4 << 20
+#: Bytes of different stretches beyond which a bucket is split, and bytes of a text read at once.
+HOT, SEGMENT = 8 << 20, 1 << 26
 #: Low bits of a comparison key that hold the place.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -160,34 +168,103 @@ def _floor_windows(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(docs: DataFrame, width: int) -> DataFrame:
-    """row, bucket, own (hash of the stretch), size, start (first suffix), n (number of suffixes)."""
+    """row, bucket, own (hash of the stretch), start (first suffix), n (number of suffixes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = width - SEED + 1
-        for part, buf, off in common.blocks(batches):
-            if len(buf) < width:
-                continue
-            prefix = common.Prefix(buf)
-            seed = prefix.all(SEED)
-            key = seed & ~PLACE | np.arange(len(seed), dtype=np.uint64)
-            anchor = (_floor_windows(key, w) & PLACE).astype(np.int64)
-            doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-            valid = doc[: len(anchor)] == doc[width - 1 :]
-            s = np.flatnonzero(valid)
-            if not len(s):
-                continue
-            a = anchor[s]
-            cut = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]])])
-            i = np.flatnonzero(cut)
-            count = np.diff(np.concatenate([i, [len(s)]]))
-            start = s[i]
-            end = start + count - 1 + width
-            row = part.column(0).take(pa.array(doc[start]))
-            yield pa.record_batch([row, pa.array(seed[a[i]].view(np.int64)), pa.array(prefix.of(start, end).view(np.int64)), pa.array((start - off[doc[start]]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["row", "bucket", "own", "start", "n"])
+        for part, whole, off in common.blocks(batches):
+            for at in range(0, len(whole), SEGMENT):
+                buf = whole[at : at + SEGMENT + width - 1]
+                if len(buf) < width:
+                    continue
+                prefix = common.Prefix(buf)
+                seed = prefix.all(SEED)
+                key = seed & ~PLACE | np.arange(len(seed), dtype=np.uint64)
+                anchor = (_floor_windows(key, w) & PLACE).astype(np.int64)
+                doc = np.searchsorted(off, np.arange(at, at + len(buf)), "right").astype(np.int32) - 1
+                s = np.flatnonzero(doc[: len(anchor)] == doc[width - 1 :])
+                if not len(s):
+                    continue
+                a = anchor[s]
+                cut = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]])])
+                i = np.flatnonzero(cut)
+                count = np.diff(np.concatenate([i, [len(s)]]))
+                start = s[i]
+                end = start + count - 1 + width
+                row = part.column(0).take(pa.array(doc[start]))
+                yield pa.record_batch([row, pa.array(seed[a[i]].view(np.int64)), pa.array(prefix.of(start, end).view(np.int64)), pa.array((start + at - off[doc[start]]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["row", "bucket", "own", "start", "n"])
 
     return docs.select("row", "text").mapInArrow(run, "row long, bucket long, own long, start int, n int")
 
 
+class Minima:
+    """Smallest key of any range of up to 255 keys."""
+
+    def __init__(self, key: np.ndarray):
+        self.top, self.rows = np.uint64((1 << 64) - 1), [key]
+        for j in range(7):
+            m, have = self.rows[-1], 1 << j
+            self.rows.append(np.minimum(m, np.append(m[have:], np.full(min(have, len(m)), self.top))))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Over [lo, hi]; the greatest number where that is empty."""
+        out = np.full(len(lo), self.top)
+        size = hi - lo + 1
+        for j, m in enumerate(self.rows):
+            at = np.flatnonzero((size >= 1 << j) & (size < 2 << j))
+            out[at] = np.minimum(m[lo[at]], m[hi[at] - (1 << j) + 1])
+        return out
+
+
+def split(pieces: DataFrame, width: int, level: int) -> DataFrame:
+    """Stretches (bucket, own, n, text, row, start) of hot buckets in parts: bucket, own of the part, its shift, row, start and n, and pbucket, pown.
+
+    Level 1: the part's bucket is also named by the smallest hash that does not overlap the first; level 2: by
+    the hashes of the first and the last bytes, each suffix apart.
+    """
+
+    def parts(rows: list[tuple]) -> pa.RecordBatch:
+        text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        size, n = np.array([len(r[3]) for r in rows]), np.array([r[2] for r in rows])
+        base = np.cumsum(size) - size
+        which = np.repeat(np.arange(len(rows)), n)
+        first = np.cumsum(n) - n
+        s = np.arange(n.sum()) - first[which] + base[which]
+        prefix = common.Prefix(text)
+        seed = prefix.all(SEED)
+        last = width - SEED
+        old = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        if level == 1:
+            low = Minima(seed & ~PLACE | np.arange(len(seed), dtype=np.uint64))
+            a = (low.of(base, base + last) & PLACE).astype(np.int64)[which]
+            b = (np.minimum(low.of(s, a - SEED), low.of(a + SEED, s + last)) & PLACE).astype(np.int64)
+            name = common.mix(seed[b] + common.mix((b - a).view(np.uint64)))
+        else:
+            name = common.mix(seed[s] + common.mix(seed[s + last]))
+        cut = np.concatenate([[True], (name[1:] != name[:-1]) | (which[1:] != which[:-1])]) if level == 1 else np.ones(len(s), bool)
+        i = np.flatnonzero(cut)
+        count, k = np.diff(np.append(i, len(s))), which[i]
+        col = lambda j: np.array([r[j] for r in rows], np.int64)[k]
+        shift = s[i] - base[k]
+        own = prefix.of(s[i], s[i] + count - 1 + width)
+        return pa.record_batch([pa.array(c) for c in (common.mix(old[k] + name[i]).view(np.int64), own.view(np.int64), shift, col(4), (col(5) + shift), count, col(0), col(1))], names=["bucket", "own", "shift", "row", "start", "n", "pbucket", "pown"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(r)
+                held += len(r[3])
+                if held > common.BLOCK:
+                    yield parts(rows)
+                    rows, held = [], 0
+        if rows:
+            yield parts(rows)
+
+    return pieces.select("bucket", "own", "n", "text", "row", "start").mapInArrow(run, "bucket long, own long, shift long, row long, start long, n long, pbucket long, pown long")
+
+
 def sorted_buckets(pieces: DataFrame, width: int) -> DataFrame:
     """bucket, own, n and the marked suffixes as runs (lo, hi) for pieces (bucket, own, n, text)."""
 
@@ -228,60 +305,88 @@ def sorted_buckets(pieces: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, own long, lo int, hi int")
 
 
-def _cut(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of stretches (row, bucket, own, start, n) from their rows."""
-    lists = found.groupBy("row").agg(F.collect_list(F.struct("bucket", "own", "start", "n", "len")).alias("want"))
-    both = docs.select("row", "text").join(lists, "row").select("text", "want")
+def _cut(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """bucket, own, n, text, row and start of stretches (row, bucket, own, start, n), with their bytes."""
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("bucket", "own", "start", "n")).alias("want"))
+    both = docs.select("row", "text").join(lists, "row").select("row", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
                 out = []
-                for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for row, t, want in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                     raw = t.encode()
-                    out += [(x["bucket"], x["own"], x["n"], raw[x["start"] : x["start"] + x["len"]]) for x in want]
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["bucket", "own", "n", "text"])
+                    out += [(x["bucket"], x["own"], x["n"], raw[x["start"] : x["start"] + x["n"] - 1 + width], row, x["start"]) for x in want]
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()], strict=True)], names=["bucket", "own", "n", "text", "row", "start"])
 
-    return both.mapInArrow(run, "bucket long, own long, n int, text binary")
+    return both.mapInArrow(run, "bucket long, own long, n int, text binary, row long, start int")
+
+
+def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> DataFrame:
+    """bucket, own, lo, hi: suffixes of the stretches (bucket, own, c, row, start, n) that occur again; stored.
+
+    kinds: the different stretches, each with one of its c places.
+    """
+    # a stretch that occurs more than once is repeated as a whole
+    out = kinds.filter("c > 1").select("bucket", "own", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi"))
+    weights = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (width - 1)).alias("bytes")).filter("kinds > 1")
+    weights = stored(weights.select("bucket", (F.col("bytes") > HOT).alias("hot")), "stretch-buckets")
+    some = stored(kinds.join(weights.hint("merge"), "bucket"), "stretch-kinds")
+    hot = level < 2 and weights.filter("hot").limit(1).count() > 0
+    dropped(weights)
+    cold = some.filter("not hot") if hot else some
+    out = stored(out.unionByName(sorted_buckets(_cut(cold, docs, width), width)), "stretch-marks")
+    if not hot:
+        dropped(some)
+        return out
+    parts = stored(split(_cut(some.filter("hot"), docs, width), width, level + 1), "stretch-parts")
+    inner = parts.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("x")).select("bucket", "own", "c", "x.*")
+    inner = stored(inner, "stretch-kinds")
+    found = marks(inner, docs, width, level + 1)
+    back = parts.select("bucket", "own", "shift", "pbucket", "pown").join(found.hint("merge"), ["bucket", "own"])
+    back = back.select(F.col("pbucket").alias("bucket"), F.col("pown").alias("own"), (F.col("lo") + F.col("shift")).cast("int").alias("lo"), (F.col("hi") + F.col("shift")).cast("int").alias("hi"))
+    whole = stored(out.unionByName(back), "stretch-marks")
+    dropped(out, parts, inner, found, some)
+    return whole
 
 
 def repeats(docs: DataFrame, width: int = 200) -> DataFrame:
-    """row and its maximal removed runs (start, end) in bytes, for rows (row long, text) with unique row."""
+    """row and its removed runs of suffixes (lo, hi), sorted, for rows (row long, text) with unique row."""
     all_ = stored(stretches(docs, width), "stretches")
     buckets = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("c > 1").select("bucket", (F.col("lo") != F.col("hi")).alias("several"))
-    found = stored(all_.join(buckets, "bucket"), "repeated-stretches")
-    dropped(all_)
+    buckets = stored(buckets, "stretch-buckets")  # the join then reads two plain tables, and AQE can split a hot bucket
+    found = stored(all_.join(buckets.hint("merge"), "bucket"), "repeated-stretches")
+    dropped(all_, buckets)
     whole = found.filter("not several").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
     several = found.filter("several")
     kinds = several.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("x")).select("bucket", "own", "c", "x.*")
     kinds = stored(kinds, "stretch-kinds")
-    texts = _cut(kinds.withColumn("len", F.col("n") - 1 + width), docs)
-    marks = sorted_buckets(texts, width)
-    # a stretch that occurs more than once is repeated as a whole
-    twice = kinds.filter("c > 1").select("bucket", "own", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
-    marks = stored(marks.unionByName(twice), "stretch-marks")
-    some = several.join(marks.withColumnsRenamed({"lo": "mlo", "hi": "mhi"}), ["bucket", "own"]).select("row", (F.col("start") + F.col("mlo")).alias("lo"), (F.col("start") + F.col("mhi")).alias("hi"))
+    again = marks(kinds, docs, width)
+    some = several.join(again.withColumnsRenamed({"lo": "mlo", "hi": "mhi"}).hint("merge"), ["bucket", "own"]).select("row", (F.col("start") + F.col("mlo")).alias("lo"), (F.col("start") + F.col("mhi")).alias("hi"))
     spans = whole.unionByName(some).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("marks"))
+    spans = stored(spans, "repeats")
+    dropped(found, kinds, again)
     return spans
 
 
-def dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and on request `kept` (binary)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows, _ = common.numbered(rows)
+def dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, row_col: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, on request `kept` (binary), and with row_col (unique longs) `row`."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    if not row_col:
+        rows, _ = common.numbered(rows)
     spans = repeats(rows.filter(F.octet_length("text") >= width), width)
-    both = rows.join(spans, "row", "left").select("doc_id", "text", "marks")
+    both = rows.join(spans, "row", "left").select("doc_id", "text", "marks", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b, out = batch.slice(i, 256), []
-                for key, t, marks in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                for key, t, own, row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                     raw = (t or "").encode()
                     kept, at, end, removed, n = [], 0, 0, 0, 0
-                    for m in marks or ():
+                    for m in own or ():
                         lo, hi = m["lo"], m["hi"] + width
                         if lo > end or n == 0:
                             kept.append(raw[end:lo])
@@ -290,10 +395,10 @@ def dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: s
                             removed, end = removed + hi - end, hi
                     kept.append(raw[end:])
                     rest = b"".join(kept)
-                    out.append((key, len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out.append((key, len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest if keep_text else None, row))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_text else out.drop("kept")
+    out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+    return out.drop(*([] if keep_text else ["kept"]), *([] if row_col else ["row"]))
