@@ -4,12 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 the columns of `documents`; the last returns the packed pieces. run() applies them to `documents`,
 writing each result as Parquet in the shared folder and reading it again.
 
-Decisions: the classifier's rejects go (null texts are scored like empty ones); of the documents
-linked by the n-gram join the one with the component's id stays (of repeated ids one row; rows
-without an id stay);
-repeated bytes are cut out of the texts (bytes that no longer form UTF-8 at a cut become U+FFFD),
-and texts that lose everything go, unless they were empty before; mixing repeats a document as
-often as the sample takes it; packing places all pieces.
+The middle stages tell rows apart by a number (the id where it is unique), so that rows without an id
+and rows that repeat one are rows like all others. Extra columns are left out, whatever their names;
+an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -24,37 +21,49 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the co-trained classifier keeps."""
+    """Rows that the co-trained classifier keeps.
+
+    Null and empty texts are scored like texts without words, null metadata as a category of its own;
+    each repeated row is scored; long texts whole.
+    """
     return cotrain.classify(docs.select(COLUMNS), common.read(spark, sf_dir, "labels")).filter("keep").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram join."""
-    heads = ngram_join.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(COLUMNS)
+    """One row of each component of the n-gram join: the smallest id, rows without one last, then by number.
+
+    Null, empty and wordless texts link with nothing and all stay; of equal texts one row stays, of
+    different texts under one id both.
+    """
+    rows, _ = common.numbered(docs.select(COLUMNS))
+    joined = ngram_join.join(rows, row_col="row")
+    heads = joined.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(heads, "row", "left_semi").select(COLUMNS)
 
 
 def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated strings of 200 bytes."""
-    cut = suffix_dedup.dedup(docs, 200, keep_text=True).filter("n_removed > 0").select("doc_id", "kept")
-    out = docs.join(cut, "doc_id", "left")
+    """Texts without the bytes of repeated strings of 200 bytes.
+
+    Bytes that no longer form UTF-8 at a cut become U+FFFD; a text that loses everything goes; null, empty and
+    short texts stay as they are. n_chars follows a text that was cut.
+    """
+    rows, _ = common.numbered(docs.select(COLUMNS))
+    cut = suffix_dedup.dedup(rows, 200, keep_text=True, row_col="row").filter("n_removed > 0").select("row", "kept")
+    out = rows.join(cut, "row", "left")
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     out = out.withColumn("text", text).filter("kept is null or text <> ''")
     return out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    # null ids may repeat: equal rows are one here, with the copies of all of them
-    rows = docs.filter("doc_id is not null").unionByName(docs.filter("doc_id is null").dropDuplicates(COLUMNS)).withColumn("tie", F.xxhash64("text"))
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("same")).agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["id"]) & (rows["tie"] == taken["same"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    """Each row as often as the mix takes it; texts without words are not taken."""
+    rows, _ = common.numbered(docs.select(COLUMNS))
+    taken = mixing.mix(rows, row_col="row").select("row", "copies").filter("copies > 0")
+    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all rows in sequences of 2048 tokens; a null or empty text is the closing id alone."""
     return packing.pack_documents(docs, queries.vocabulary())
 
 
@@ -71,9 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all stages on `documents`; a stage's table is deleted once the next one is written."""
     docs = common.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.stored(docs, f"pipeline-{i}")
+            common.dropped(last)
+            common.released(spark)
     return docs
