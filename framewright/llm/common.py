@@ -298,21 +298,20 @@ def components(edges: DataFrame) -> DataFrame:
     """Node and smallest node of its component (stored; without the roots), for edges (a, b) of longs.
 
     Alternates the large-star and small-star steps until the edges point at their roots. Hot
-    nodes only meet in minima, which are combined before the shuffle, and in sort-merge joins of
-    plain tables, which AQE splits. Each round is written to the shared folder.
+    nodes only meet in minima, which are combined before the shuffle, and in joins of three longs a
+    row. Each round is written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = stored(e, "edges")
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the join reads two plain tables and AQE can split a hot node
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "edges")
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
+        small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
         e, old = stored(small, "edges"), e
-        dropped(old, least)
+        dropped(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
             out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -16,8 +16,8 @@ size; a miscount costs time, never a link), then goes by hash.
    Families of near copies, loose ones too, so join by a few links for each text.
 4. What the leaders cannot show: all pairs of groups that share a shingle, hold different
    components and pass the size, position and overlap bounds. They are expanded to members and
-   verified in three lots: some for each group, drawn by hash, more of them, then all that still lie
-   apart. This step makes the result exact; the earlier ones leave it little to do.
+   verified in two lots: some for each group, drawn by hash, then all that still lie apart. This step
+   makes the result exact; the earlier ones leave it little to do.
 
 Of the links that a task verifies it hands on those that join what it has seen (a forest), and a
 pair that these join already is not verified, so links grow with the texts and not with the pairs.
@@ -46,8 +46,8 @@ SKETCH, SLICE = 1 << 23, 1 << 16
 PLAIN = 6
 #: Frequent prefix keys up to which a posting carries its text's list of them.
 WIDE = 256
-#: Leaders drawn for the shingles of a text, rounds of them at most, candidates of a group in the first lots.
-TURNS, ROUNDS, LOTS = 8, 6, (16, 256)
+#: Leaders drawn for the shingles of a text, rounds of them at most, candidates of a group in the first lot.
+TURNS, ROUNDS, LOT = 8, 6, 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -135,7 +135,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for part, sets in _sets(batches, k):
             yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "keys"])
 
-    own = docs.join(nodes.select(F.col("node").alias("row")).distinct().hint("merge"), "row", "left_semi").select("row", "text")
+    own = docs.join(nodes.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
     return own.mapInArrow(run, "node long, keys binary")
 
 
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Of the pairs (a, b) of nodes those that link, by their whole sets; of each task's a forest. Stored."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     sets = stored(_whole_sets(docs, nodes, k), "jaccard-sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("keys").alias("k" + x)).hint("merge")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("keys").alias("k" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ class Labels:
         if made or self.table is None:
             own = links if links is not None else self.nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
             star = components(own if self.star is None else own.union(self.star.select("node", "root")))
-            table = stored(self.nodes.select("node", "gid").join(star.hint("merge"), "node", "left").select("node", "gid", F.coalesce("root", "node").alias("comp")), "jaccard-labels")
+            table = stored(self.nodes.select("node", "gid").join(star, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("comp")), "jaccard-labels")
             dropped(self.star, self.table)
             self.star, self.table = star, table
         dropped(links)
@@ -227,7 +227,7 @@ def drawn_pairs(shared: DataFrame, ranges: DataFrame, turn: int) -> DataFrame:
 
     Of linked texts a part's shingles agree mostly, so a pair under less than about a quarter of them is left out.
     """
-    p = shared.withColumn("lane", _lane(turn)).withColumn("part", F.pmod(F.xxhash64("tok", F.lit(turn)), F.lit(TURNS))).join(ranges.hint("merge"), "gid")
+    p = shared.withColumn("lane", _lane(turn)).withColumn("part", F.pmod(F.xxhash64("tok", F.lit(turn)), F.lit(TURNS))).join(ranges, "gid")
     p = p.withColumn("lead", F.min(F.struct(F.xxhash64("gid", "part", F.lit(turn)).alias("o"), "gid", "n", "pos", "lo", "hi")).over(Window.partitionBy("tok", "lane", "band")))
     p = p.select(*[F.col(f"lead.{c}").alias(x) for c, x in (("gid", "a"), ("n", "na"), ("pos", "pa"), ("lo", "la"), ("hi", "ua"))], *[F.col(c).alias(x) for c, x in (("gid", "b"), ("n", "nb"), ("pos", "pb"), ("lo", "lb"), ("hi", "ub"))], "part")
     p = p.filter(f"a <> b and {APART} and {SIZED} and {PLACED}")
@@ -243,20 +243,20 @@ def all_pairs(shared: DataFrame, ranges: DataFrame) -> DataFrame:
     keys is not repeated in every row; such texts are counted key by key. The numbers of shared keys
     (m, of them h frequent) bound the overlap before anything is made.
     """
-    p = shared.join(ranges.hint("merge"), "gid")
+    p = shared.join(ranges, "gid")
     mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).filter("tlo <> thi").select("tok")
-    left = stored(p.join(mixed.hint("merge"), "tok", "left_semi"), "jaccard-mixed")
+    left = stored(p.join(mixed, "tok", "left_semi"), "jaccard-mixed")
     hot = F.shiftrightunsigned("tok", 58) > 0
     keys = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if(hot).alias("h"), F.sort_array(F.collect_list(F.when(hot, F.col("tok")))).alias("toks"))
     keys = keys.withColumn("toks", F.when(F.size("toks").between(1, WIDE), F.col("toks")))
-    whole = stored(left.join(keys.hint("merge"), "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
+    whole = stored(left.join(keys, "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
     dropped(left)
     names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h"}
     side = lambda z, tok: whole.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
     prefix = lambda n: f"({n} - floor((3 * {n} + 3) / 4) + 1)"
     enough = lambda c: f"7 * ({c} + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)"
     once = f"try_element_at(array_intersect(ta, tb), 1) = tok and {enough('size(array_intersect(ta, tb)) + least(ma - ha, mb - hb)')}"
-    near = side("a", "tok").hint("merge").join(side("b", "tok2").hint("merge"), F.expr(f"tok = tok2 and a < b and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
+    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and a < b and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
     near = near.withColumn("c", F.expr("case when ta is null or tb is null then 1 else size(array_intersect(ta, tb)) end"))
     near = near.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
     out = stored(near.filter(enough("c")).select("a", "b"), "jaccard-near")
@@ -274,8 +274,8 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     some = sig.filter("n > 0")
     nodes = some.groupBy("n", "f1", "f2", "ph").agg(F.min("row").alias("node"))
     groups = nodes.groupBy("n", "ph").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
-    nodes = stored(nodes.join(groups.hint("merge"), ["n", "ph"]).select("node", "gid", "n", "f1", "f2", "members"), "jaccard-nodes")
-    posts = some.join(nodes.filter("node = gid").select("gid").hint("merge"), F.col("row") == F.col("gid"))
+    nodes = stored(nodes.join(groups, ["n", "ph"]).select("node", "gid", "n", "f1", "f2", "members"), "jaccard-nodes")
+    posts = some.join(nodes.filter("node = gid").select("gid"), F.col("row") == F.col("gid"))
     posts = posts.select("gid", "n", F.element_at("keys", -1).alias("end"), F.posexplode("keys").alias("pos", "tok"))
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.15)).cast("int")).withColumn("lane", _lane(0))
     at = Window.partitionBy("tok", "lane")
@@ -296,23 +296,22 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
     # groups of one prefix and size pair their own members too
     near = near.union(nodes.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     each = near.select(F.col("a").alias("gid")).union(near.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count(F.lit(1)).alias("all"))
-    side = lambda x: each.select(F.col("gid").alias(x), F.col("all").alias("all" + x)).hint("merge")
+    side = lambda x: each.select(F.col("gid").alias(x), F.col("all").alias("all" + x))
     # place of a pair among the candidates of its less busy group, if these stood in the order of a hash
     place = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.least("alla", "allb")
     near = stored(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", place.alias("place")), "jaccard-near")
-    for low, high in zip((0, *LOTS), (*LOTS, None), strict=True):
-        lot = near.filter(f"place >= {low}" + (f" and place < {high}" if high else ""))
+    for lot in (near.filter(F.col("place") < LOT), near.filter(F.col("place") >= LOT)):
         mine = labels.table.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx"))
         other = labels.table.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
-        pairs = lot.join(mine.hint("merge"), "a").join(other.hint("merge"), "b").filter("cx <> cy and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        pairs = lot.join(mine, "a").join(other, "b").filter("cx <> cy and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
         labels.add(pairs)
     dropped(near)
-    comp = nodes.select("node", "n", "f1", "f2").join(labels.table.select("node", "comp").hint("merge"), "node").select("n", "f1", "f2", "comp")
-    out = sizes.join(comp.hint("merge"), ["n", "f1", "f2"], "left")
+    comp = nodes.select("node", "n", "f1", "f2").join(labels.table.select("node", "comp"), "node").select("n", "f1", "f2", "comp")
+    out = sizes.join(comp, ["n", "f1", "f2"], "left")
     if unique:
         out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
     else:  # nodes are numbers of rows then
         least = out.groupBy("comp").agg(F.min("doc_id").alias("least")).filter("comp is not null")
-        out = out.join(least.hint("merge"), "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+        out = out.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     more = [F.col("row"), F.coalesce("comp", "row").alias("head")] if row_col else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)

@@ -333,7 +333,7 @@ def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> Data
     out = kinds.filter("c > 1").select("bucket", "own", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi"))
     weights = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (width - 1)).alias("bytes")).filter("kinds > 1")
     weights = stored(weights.select("bucket", (F.col("bytes") > HOT).alias("hot")), "stretch-buckets")
-    some = stored(kinds.join(weights.hint("merge"), "bucket"), "stretch-kinds")
+    some = stored(kinds.join(weights, "bucket"), "stretch-kinds")
     hot = level < 2 and weights.filter("hot").limit(1).count() > 0
     dropped(weights)
     cold = some.filter("not hot") if hot else some
@@ -345,7 +345,7 @@ def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> Data
     inner = parts.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("x")).select("bucket", "own", "c", "x.*")
     inner = stored(inner, "stretch-kinds")
     found = marks(inner, docs, width, level + 1)
-    back = parts.select("bucket", "own", "shift", "pbucket", "pown").join(found.hint("merge"), ["bucket", "own"])
+    back = parts.select("bucket", "own", "shift", "pbucket", "pown").join(found, ["bucket", "own"])
     back = back.select(F.col("pbucket").alias("bucket"), F.col("pown").alias("own"), (F.col("lo") + F.col("shift")).cast("int").alias("lo"), (F.col("hi") + F.col("shift")).cast("int").alias("hi"))
     whole = stored(out.unionByName(back), "stretch-marks")
     dropped(out, parts, inner, found, some)
@@ -355,16 +355,20 @@ def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> Data
 def repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """row and its removed runs of suffixes (lo, hi), sorted, for rows (row long, text) with unique row."""
     all_ = stored(stretches(docs, width), "stretches")
-    buckets = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("c > 1").select("bucket", (F.col("lo") != F.col("hi")).alias("several"))
-    buckets = stored(buckets, "stretch-buckets")  # the join then reads two plain tables, and AQE can split a hot bucket
-    found = stored(all_.join(buckets.hint("merge"), "bucket"), "repeated-stretches")
+    kinds = all_.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"))
+    more = F.when(F.col("c") > 1, F.col("own"))
+    buckets = kinds.groupBy("bucket").agg(F.sum("c").alias("c"), (F.min("own") != F.max("own")).alias("several"), F.max_by(more, F.when(F.col("c") > 1, F.col("c"))).alias("top"), F.min(more).alias("low"), F.max(more).alias("high"))
+    # up to three stretches of a bucket are known here to occur again, the most frequent one among them: their places need no mark
+    buckets = stored(buckets.filter("c > 1").drop("c"), "stretch-buckets")
+    found = all_.join(buckets, "bucket").withColumn("known", F.expr("not several or coalesce(own in (top, low, high), false)"))
+    found = stored(found.drop("top", "low", "high"), "repeated-stretches")
     dropped(all_, buckets)
-    whole = found.filter("not several").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
+    whole = found.filter("known").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
     several = found.filter("several")
     kinds = several.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("x")).select("bucket", "own", "c", "x.*")
     kinds = stored(kinds, "stretch-kinds")
     again = marks(kinds, docs, width)
-    some = several.join(again.withColumnsRenamed({"lo": "mlo", "hi": "mhi"}).hint("merge"), ["bucket", "own"]).select("row", (F.col("start") + F.col("mlo")).alias("lo"), (F.col("start") + F.col("mhi")).alias("hi"))
+    some = several.filter("not known").join(again.withColumnsRenamed({"lo": "mlo", "hi": "mhi"}), ["bucket", "own"]).select("row", (F.col("start") + F.col("mlo")).alias("lo"), (F.col("start") + F.col("mhi")).alias("hi"))
     spans = whole.unionByName(some).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("marks"))
     spans = stored(spans, "repeats")
     dropped(found, kinds, again)
