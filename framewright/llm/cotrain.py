@@ -5,8 +5,8 @@ word evidence, in quantile bins. The metadata view sees source, language and len
 logistic regressions, trained on a bounded sample of labelled rows (SAMPLE, drawn by a hash of the
 id). In each of ROUNDS rounds both views score every unlabelled row in the executors, and a view
 hands the HANDED rows of each class of which it is surest (calibrated to at least SURE; found by
-ranks in tasks, then over all) to the other as labels. At the end each view is calibrated on a labelled fold
-that trained neither, and a small regression on the two calibrated logits gives p_quality. Every
+ranks in tasks, then over all) to the other as labels. Word evidence of a training row comes from other
+rows (cross-fitted). At the end each view is calibrated on a labelled fold that trained neither, and a small regression on the two calibrated logits gives p_quality. Every
 document is scored; `keep` is p_quality >= 0.5.
 
 The sample's word evidence is fitted in one executor task; the driver fits two regressions on the
@@ -157,7 +157,7 @@ class Model:
 
 @dataclass
 class Sample:
-    """Labelled rows as bins and categories, with their fold: 2 trains the views, 3 calibrates them."""
+    """Labelled rows as bins and categories, with their fold: the last one calibrates, the others train."""
 
     content: np.ndarray
     meta: np.ndarray
@@ -170,23 +170,30 @@ def prepared(dense: np.ndarray, words: list[np.ndarray], meta: np.ndarray, y: np
     model = Model(share=float(y.mean()) if len(y) else 1.0)
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return model, None
-    # four folds: word evidence from the first two, the views from the third, calibration on the fourth
+    # three folds train, each by the word evidence of the other two; the fourth calibrates, by that of all three
     fold = np.zeros(len(y), int)
     for v in (0, 1):
         own = np.flatnonzero(y == v)
         fold[own] = np.arange(len(own)) % 4
-    size = 1 << WORDS_BITS
-    bad = np.zeros(size)
-    good = np.zeros(size)
-    for i in np.flatnonzero(fold < 2):
-        (good if y[i] else bad)[words[i]] += 1
+    count = np.zeros((3, 2, 1 << WORDS_BITS))
+    for i in np.flatnonzero(fold < 3):
+        count[fold[i], y[i], words[i]] += 1
     base = 1 - model.share
-    rate = (bad + 5 * base) / (bad + good + 5)
-    deviation = (bad - (bad + good) * base) / np.sqrt((bad + good) * base * (1 - base) + 1)
-    model.evidence = np.stack([np.log(rate / (1 - rate)) - np.log(base / (1 - base)), deviation]).astype(np.float32)
-    parts = [words[i : i + 500] for i in range(0, len(words), 500)]
-    dense = np.hstack([dense, np.vstack([model.lexical(np.concatenate(p).astype(np.uint64), np.cumsum([0, *map(len, p)])) for p in parts])])
-    model.edges = np.quantile(dense[fold == 2], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+
+    def evidence(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        rate = (bad + 5 * base) / (bad + good + 5)
+        deviation = (bad - (bad + good) * base) / np.sqrt((bad + good) * base * (1 - base) + 1)
+        return np.stack([np.log(rate / (1 - rate)) - np.log(base / (1 - base)), deviation]).astype(np.float32)
+
+    told = np.zeros((len(y), 3))
+    for f in range(4):
+        model.evidence = evidence(*count[[k for k in range(3) if k != f]].sum(0))
+        rows = np.flatnonzero(fold == f)
+        for at in range(0, len(rows), 500):
+            p = [words[i] for i in rows[at : at + 500]]
+            told[rows[at : at + 500]] = model.lexical(np.concatenate(p).astype(np.uint64), np.cumsum([0, *map(len, p)]))
+    dense = np.hstack([dense, told])  # the evidence of all three folds stays in the model
+    model.edges = np.quantile(dense[fold < 3], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     return model, Sample(model.binned(dense), meta, y, fold)
 
 
@@ -194,14 +201,14 @@ def prepared(dense: np.ndarray, words: list[np.ndarray], meta: np.ndarray, y: np
 Surest = Callable[[Model, list[set]], list[tuple[int, int, bytes, bytes]]]
 
 
-def surest_of(content: np.ndarray, meta: np.ndarray, model: Model, given: list[set], handed: int) -> list[tuple[int, int, float, int]]:
+def surest_of(content: np.ndarray, meta: np.ndarray, model: Model, given: list[set], handed: int, sure: float) -> list[tuple[int, int, float, int]]:
     """view, label, confidence and number of the rows of which each view is surest, those given to the other view left out."""
     out = []
     names = [(c.tobytes(), m.tobytes()) for c, m in zip(content.astype("<i2"), meta.astype("<i2"), strict=True)]
     for view, z in enumerate(model.logits(content, meta)):
         fresh = np.array([n not in given[1 - view] for n in names], bool)
         for label, p in ((1, 1 / (1 + np.exp(-z))), (0, 1 / (1 + np.exp(z)))):
-            at = np.flatnonzero((p >= SURE) & fresh)
+            at = np.flatnonzero((p >= sure) & fresh)
             if len(at) > 4 * handed:
                 at = at[p[at] >= np.partition(p[at], len(at) - handed)[len(at) - handed]]
             out += [(view, label, float(p[i]), int(i)) for i in at]
@@ -212,7 +219,7 @@ def cotrain(model: Model, sample: Sample | None, surest: Surest, rounds: int = R
     """Train both views, exchanging what `surest` finds among the unlabelled rows."""
     if sample is None:
         return model
-    train, held, y = np.flatnonzero(sample.fold == 2), np.flatnonzero(sample.fold == 3), sample.y
+    train, held, y = np.flatnonzero(sample.fold < 3), np.flatnonzero(sample.fold == 3), sample.y
     own, sizes = [sample.content, sample.meta], [BINS * sample.content.shape[1], META]
     extra: list[dict[tuple[bytes, bytes], int]] = [{}, {}]
     for turn in range(rounds + 1):
@@ -268,7 +275,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return good.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model:
     """Fit on at most `sample` labelled documents and an exchange over all others."""
     spark = docs.sparkSession
     good = stored(labelled(docs, labels), "labelled")
@@ -293,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
                 found = []
                 if b.num_rows:
                     content, meta = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<i2").reshape(b.num_rows, -1).astype(np.int64) for i in (0, 1))
-                    found = surest_of(content, meta, small, given, handed)
+                    found = surest_of(content, meta, small, given, handed, sure)
                 cols = list(zip(*found, strict=True)) or [()] * 4
                 yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), *(b.column(i).take(pa.array(cols[3], pa.int64())) for i in (0, 1))], names=["view", "label", "p", "content", "meta"])
 

@@ -3,26 +3,31 @@
 Vectors are scaled by the largest norm and given one more coordinate so that all lie on the unit
 sphere and the order by inner product is the order by angle. Rotations learned on a bounded
 sample (SAMPLE rows; alternating sign codes and orthogonal Procrustes, from TURNS random starts)
-give BITS-bit codes, split into bytes, each of which indexes every row of a block.
+give BITS-bit codes, split into substrings of 16 bits, each of which indexes every row of a block.
 
-A query probes, in every byte's table, all values within floor(radius / bytes) bits of its own; by
-the pigeonhole principle it so meets every code within the radius. Codes within the radius are
-ranked by the exact inner product in double precision. The radius climbs a ladder until it covers,
-with a margin, the codes to be expected at the k-th best angle found so far; the last rung is
-fitted on the sample, so that it holds TARGET of the sample's true neighbours.
+A query probes, in every substring's table, all values within floor(radius / substrings) bits of its
+own; by the pigeonhole principle it so meets every code within the radius. Where the values to probe
+outnumber the rows of the block, its codes are compared in turn instead, with the same result. Codes
+within the radius are ranked by the exact inner product in double precision. Each query climbs a
+ladder of radii until the radius covers, with a margin, the codes to be expected at the angle of the last
+of its neighbours in the block (k over the number of blocks, and two deviations more); the last rung is fitted on the sample, so that it holds TARGET of the sample's true
+neighbours. Queries with near neighbours so look at few rows; where all vectors are far apart (neighbours
+at 65 degrees and more) a radius that holds them is beyond what tables can prune.
 
 Rows are dealt into blocks of at most about BLOCK_ROWS, queries into blocks of QUERY_ROWS; each
 pair of blocks is one group, which gives each query its `k` best, and the best of all blocks are
 merged. Memory follows the two bounds, not the table.
 
-Vectors that are null, zero, or hold a null or non-finite component take no part, nor do vectors
-of another length than most (the greater length on a tie). Equal scores go by smaller id; a query
-is no candidate of its own (rows that repeat its id are none either). Fewer than k candidates: all.
+Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do vectors
+of another length than most (the greater length on a tie), nor rows without an id. Equal scores go by
+smaller id, in a block and between blocks; a query is no candidate of its own (rows that repeat its id
+are none either); a candidate's repeated rows count once. Fewer than k candidates: all. Empty table: no
+rows. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
 import numpy as np
 import pandas as pd
@@ -32,8 +37,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import stored
 
 BITS, TURNS, SAMPLE, FIT_QUERIES, TARGET = 256, 8, 4000, 200, 0.985
-BLOCK_ROWS, QUERY_ROWS, SEED = 16384, 2048, 11
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+BLOCK_ROWS, QUERY_ROWS, SEED = 1 << 17, 1 << 13, 11
 
 
 def _rotation(x: np.ndarray, bits: int, rng: np.random.Generator, turns: int) -> np.ndarray:
@@ -56,35 +60,52 @@ def lifted(v: np.ndarray, top: float) -> np.ndarray:
 
 
 class Codes:
-    """Byte tables over the codes of one block."""
+    """Tables over the 16-bit substrings of the codes of one block."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, (self.n, self.m) = codes, codes.shape
-        self.words = np.ascontiguousarray(codes).view(np.uint64) if self.m % 8 == 0 else None
-        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
-        self.start = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(self.m)])
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs from `code` in at most `radius` bits."""
-        reach, seen = radius // self.m, np.zeros(self.n, bool)
-        for j in range(self.m):
-            values = np.flatnonzero(_NEAR[code[j]] <= reach)
-            lo, hi = self.start[j, values], self.start[j, values + 1]
-            size = hi - lo
-            seen[self.order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), j]] = True
-        found = np.flatnonzero(seen)
-        apart = np.bitwise_count(self.words[found] ^ code.view(np.uint64)).sum(1) if self.words is not None else np.bitwise_count(self.codes[found] ^ code).sum(1)
-        return found[apart <= radius]
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        parts = np.ascontiguousarray(codes).view(np.uint16)
+        self.n, self.m = parts.shape
+        self.order = np.argsort(parts, axis=0, kind="stable").astype(np.int32)
+        self.start = np.stack([np.searchsorted(parts[self.order[:, j], j], np.arange(65537)) for j in range(self.m)]).astype(np.int32)
+
+    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """Rows whose code differs from `code` in at most `radius` bits, and how many rows were looked at.
+
+        The tables hold every such row under a value within floor(radius / substrings) bits of the code's.
+        Where the values to probe outnumber the block's rows, its codes are compared in turn.
+        """
+        near, own = _masks(radius // self.m), code.view(np.uint16)
+        if len(near) * self.m > self.n:
+            found = np.arange(self.n)
+        else:
+            found = []
+            for j in range(self.m):
+                at = near ^ own[j]
+                lo, size = self.start[j, at], self.start[j, at.astype(np.int64) + 1] - self.start[j, at]
+                some = size > 0
+                lo, size = lo[some].astype(np.int64), size[some].astype(np.int64)
+                found.append(self.order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), j])
+            found = np.unique(np.concatenate(found))
+        apart = np.bitwise_count(self.words[found] ^ code.view(np.uint64)).sum(1)
+        return found[apart <= radius], len(found)
+
+
+@functools.cache
+def _masks(bits: int) -> np.ndarray:
+    """All 16-bit numbers with at most so many bits."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    return x[np.bitwise_count(x) <= bits]
 
 
 def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k nearest of some rows."""
     rows = rows[ids[rows] != own]
-    score = vectors[rows] @ query
     if len(rows) > 4 * k:
-        cut = np.partition(score, len(rows) - k)[len(rows) - k]
-        keep = score >= cut
-        rows, score = rows[keep], score[keep]
+        rough = vectors[rows] @ query
+        cut = np.partition(rough, len(rows) - k)[len(rows) - k]
+        rows = rows[rough >= cut - 1e-9 * max(1.0, abs(cut))]
+    score = (vectors[rows] * query).sum(1)  # summed row by row, so that equal vectors tie in any block
     order = np.lexsort((ids[rows], -score))[:k]
     return ids[rows[order]], score[order]
 
@@ -109,12 +130,12 @@ def learn(x: np.ndarray, top: float, k: int, bits: int = BITS) -> tuple[np.ndarr
     near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
     apart = np.bitwise_count(codes[near] ^ asked[:, None, :]).sum(2).ravel() if near.size else np.array([bits])
     last = int(np.quantile(apart, TARGET, method="higher")) if len(x) > 4 * k else bits
-    m = bits // 8
+    m = bits // 16
     return maps, [*[r for r in range(m - 1, last, m)], last]
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all rows."""
+def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probes: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all rows; on request `probed`, the rows that the query looked at in the candidate's block."""
     spark = table.sparkSession
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
@@ -129,36 +150,44 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows
     maps, ladder = learn(np.array([r["v"] for r in drawn]), top, k)
     held = spark.sparkContext.broadcast((maps, ladder, top))
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
+    # at least as many groups as the cluster has cores, while a block has some thousand rows
+    blocks = max(1, -(-size["n"] // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism, size["n"] // 4096))
+    # of a query's k nearest a block, to which rows are dealt evenly, mostly holds fewer
+    some = min(k, int(np.ceil(k / blocks + 2 * (k / blocks) ** 0.5 + 1)))
     asked = rows.filter(F.col("vec_id") % every == 0)
     parts = max(1, -(-asked.count() // QUERY_ROWS))
     every_part, every_block = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
-    index = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))).withColumn("part", F.explode(every_part))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("v", "vec_id"), F.lit(parts))).withColumn("block", F.explode(every_block))
+    deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")  # noqa: E731  evenly, also where rows repeat
+    index = rows.select(F.col("vec_id").alias("id"), F.col("v").alias("w"), deal(blocks).alias("block")).withColumn("part", F.explode(every_part))
+    asked = asked.withColumn("part", deal(parts)).withColumn("block", F.explode(every_block))
 
     def run(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(block):
             maps, ladder, top = held.value
-            ids, vectors = block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy())
+            ids, vectors = block["id"].to_numpy(), np.stack(block["w"].to_numpy())
             table = Codes(encode(lifted(vectors, top), maps))
             q = np.stack(queries["v"].to_numpy())
             codes = encode(np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]), maps)
             for own, vector, code in zip(queries["vec_id"], q, codes, strict=True):
-                norm = np.linalg.norm(vector)
+                norm, looked = np.linalg.norm(vector), 0
                 for radius in ladder:
-                    found = table.within(code, radius)
-                    if radius == ladder[-1] or len(found) <= k:
+                    found, rows = table.within(code, radius)
+                    looked = max(looked, rows)
+                    if radius == ladder[-1] or len(found) <= some:
                         continue
-                    _, near = best(vector, own, ids, vectors, found, k)
-                    if len(near) == k and reach(near[-1] / (norm * top)) <= radius:
+                    _, near = best(vector, own, ids, vectors, found, some)
+                    if len(near) == some and reach(near[-1] / (norm * top)) <= radius:
                         break
-                if len(found) < len(ids) and (ids[found] != own).sum() < k:
+                if len(found) < len(ids) and (ids[found] != own).sum() < some:
                     found = np.arange(len(ids))  # too few within the last radius: the whole block
+                    looked = len(ids)
                 for i, s in zip(*best(vector, own, ids, vectors, found, k), strict=True):
-                    out.append((own, i, s))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out.append((own, i, s, looked))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "probed"])
 
-    pairs = asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    pairs = asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(run, "query_id long, vec_id long, score double, probed long")
+    best_ = pairs.groupBy("query_id", "vec_id", "score").agg(F.max("probed").alias("probed"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = best_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score", *(["probed"] if probes else []))

@@ -7,13 +7,15 @@ then take the planned slots: a piece's rank within its length falls in one inter
 one pattern position, which names sequence and offset.
 
 Null and empty texts: one piece of one token (the closing id). Texts over `width` tokens are cut
-from the end, so that only their first piece may be shorter. Repeated rows are packed as often as
-they occur. Empty input: no rows. Other columns of the input do not matter.
+from the end, so that only their first piece may be shorter. Null ids and repeated rows are packed as
+often as they occur, told apart by a salt. Ties in length go by id, piece and checksum. Very long texts
+are encoded one at a time. Empty table: no rows. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -31,11 +33,13 @@ CACHE = 1_000_000
 
 
 class WordCache:
-    """Ids of whole texts, from the ids of their pre-tokens.
+    """Ids of whole texts as the tokenizer itself gives them, mostly from the ids of their pre-tokens.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
-    order; each distinct pre-token is encoded once by the tokenizer itself. Texts of plain ASCII
-    and Latin letters, where the classes need no Unicode tables, are split by a plainer pattern.
+    order; each distinct pre-token is encoded once by the tokenizer. Texts of plain ASCII and Latin
+    letters, where the classes need no Unicode tables, are split by a plainer pattern. A text that
+    holds one of the vocabulary's added tokens is encoded whole, and so is every text if the vocabulary
+    has a normalizer, adds other tokens or splits in another way than PATTERN.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,22 +50,31 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        way, model = form.get("pre_tokenizer") or {}, form.get("model") or {}
+        plain_way = way.get("type") == "ByteLevel" and not way.get("add_prefix_space") and way.get("use_regex", True) and model.get("type") == "BPE"
+        self.cached = bool(plain_way and not form.get("normalizer") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        added = [t["content"] for t in form.get("added_tokens") or ()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else lambda t: None
         self.split = regex.compile(self.PATTERN).findall
         self.plain = re.compile(self.PATTERN.replace("^\\s\\p{L}\\p{N}", f"^\\s0-9{self.LATIN}").replace("\\p{L}", f"[{self.LATIN}]").replace("\\p{N}", "[0-9]")).findall
         self.other = re.compile(f"[^\t\n\r -~{self.LATIN}]").search
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts, known = [(self.split if self.other(t) else self.plain)(t) for t in texts], self.known
-        new = list({p for x in parts for p in x}.difference(known))
+        parts, known = [None if not self.cached or self.added(t) else (self.split if self.other(t) else self.plain)(t) for t in texts], self.known
+        new = list({p for x in parts if x for p in x}.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list({p for x in parts for p in x})
+            new = list({p for x in parts if x for p in x})
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
-        return [b"".join([known[p] for p in x]) for x in parts]
+        return [self._whole(t) if x is None else b"".join([known[p] for p in x]) for t, x in zip(texts, parts, strict=True)]
 
 
 @functools.cache
@@ -145,12 +158,14 @@ def pack(pieces: DataFrame, width: int = 2048, id_col: str = "doc_id") -> DataFr
     # the histogram has at most `width` rows
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = pieces.sparkSession.createDataFrame(plan(counts, width), "length long, first long, end long, sequence long, offset long")
-    placed = ranked(pieces, ["length"], [F.col(id_col), F.col("piece"), F.col("ids_crc32")], "rank", lanes=32)
+    salt = [F.col("salt")] if "salt" in pieces.columns else []
+    placed = ranked(pieces, ["length"], [F.col(id_col), F.col("piece"), F.col("ids_crc32"), *salt], "rank", lanes=32)
     # a few slots for each of at most `width` lengths, so its size does not follow the corpus
     placed = placed.join(F.broadcast(slots), "length").filter("rank >= first and rank < end")
-    return placed.select(*[c for c in pieces.columns], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return placed.select(*[c for c in pieces.columns if c != "salt"], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048) -> DataFrame:
     """Tokenise, plan and place; the ids themselves are kept out of the shuffle."""
-    return pack(stored(pieces(docs, vocabulary, width).drop("ids"), "pieces"), width)
+    cut = pieces(docs, vocabulary, width).drop("ids").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(61)).cast("int"))
+    return pack(stored(cut, "pieces"), width)

@@ -3,13 +3,16 @@
 mux() writes a programme association table, a programme map table and one private elementary
 stream; each access unit is a packetised elementary stream packet with a 90 kHz presentation time
 stamp, its first transport packet carries a clock reference and the random-access mark where one
-is due. demux() parses the tables, checks every continuity counter, reassembles the elementary
-packets and lists the time stamps with the packet numbers of the random-access points.
-
-Null: the empty payload (padded like any other). Equal payloads give equal streams. Streams of
-any length work; a worker holds one text and its stream at a time. Damaged streams: a packet
-whose counter does not follow is counted in `gaps`, a payload of wrong length in `damaged`;
-a stream without tables gives no programme and an empty payload.
+is due. demux() parses the tables (sections of any number of packets, several in one), checks every
+continuity counter, reassembles the elementary packets (of given or, as in video, open length) and
+lists the time stamps with the packet numbers of the random-access points.
+
+Null and empty: the empty payload (padded like any other). Equal payloads give equal streams, also
+for repeated rows. Very long texts: a worker holds one text and its stream at a time. Empty table: no
+rows. Other columns, whatever their names, do not matter. Damaged streams: one repetition of a packet,
+which the standard allows, is dropped; a packet whose counter does not follow is counted in `gaps`, unless
+it carries the discontinuity mark; a unit with a gap in it keeps what came before the gap and counts as
+`damaged`, like one of wrong length; a stream without tables gives no programme and an empty payload.
 """
 
 from __future__ import annotations
@@ -107,66 +110,107 @@ class Stream:
     access: list[tuple[int, int]] = field(default_factory=list)
 
 
-def _sections(body: bytes) -> bytes:
-    s = body[1 + body[0] :]
-    n = 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)
-    return s[3 : n - 4] if len(s) >= n and section_crc(s[:n]) == 0 else b""
+class Sections:
+    """Table sections of one packet identifier, over any number of packets; those with a wrong CRC are left out."""
+
+    def __init__(self) -> None:
+        self.held: bytearray | None = None
+
+    def feed(self, body: bytes, start: bool) -> list[bytes]:
+        out = []
+        if start:
+            point = 1 + body[0] if body else 0
+            if self.held is not None:  # the end of a section that began in an earlier packet
+                self.held += body[1:point]
+                out += self._whole()
+            self.held = bytearray(body[point:])
+        elif self.held is not None:
+            self.held += body
+        return out + self._whole()
+
+    def _whole(self) -> list[bytes]:
+        out = []
+        while self.held is not None and len(self.held) >= 3:
+            if self.held[0] == 0xFF:  # stuffing up to the packet's end
+                self.held = None
+                break
+            n = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if len(self.held) < n:
+                break
+            s = bytes(self.held[:n])
+            if section_crc(s) == 0:
+                out.append(s)
+            del self.held[:n]
+        return out
 
 
 def demux(data: bytes) -> Stream:
     """Parse tables, check counters, reassemble the first elementary stream."""
-    out, last, unit, chunks, target = Stream(), {}, bytearray(), [], None
-    access = None
+    out, last, tables, chunks = Stream(), {}, {}, []
+    unit, access, broken, target = bytearray(), None, False, None
 
     def flush() -> None:
-        nonlocal unit
-        if unit:
-            if unit[:3] == b"\x00\x00\x01" and len(unit) >= 9:
-                want, begin = int.from_bytes(unit[4:6], "big"), 9 + unit[8]
-                out.damaged += len(unit) != 6 + want
-                if unit[7] & 0x80:
-                    t = unit[9:14]
-                    pts = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1
-                    out.stamps.append(pts)
-                    if access is not None:
-                        out.access.append((pts, access))
-                chunks.append(bytes(unit[begin : 6 + want]))
-            else:
-                out.damaged += 1
-        unit = bytearray()
+        if not unit:
+            return
+        if unit[:3] != b"\x00\x00\x01" or len(unit) < 9:
+            out.damaged += 1
+            return
+        want, begin = int.from_bytes(unit[4:6], "big"), 9 + unit[8]
+        end = 6 + want if want else len(unit)  # no length: up to the next unit
+        out.damaged += len(unit) != end or (broken and not want)
+        if unit[7] & 0x80 and len(unit) >= 14:
+            t = unit[9:14]
+            pts = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1
+            out.stamps.append(pts)
+            if access is not None:
+                out.access.append((pts, access))
+        chunks.append(bytes(unit[begin:end]))
 
     for at in range(0, len(data) - PACKET + 1, PACKET):
         p = data[at : at + PACKET]
         number, out.packets = out.packets, out.packets + 1
-        if p[0] != 0x47:
+        if p[0] != 0x47 or p[1] & 0x80:
             out.damaged += 1
             continue
-        pid, start, control = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] >> 4 & 3
-        begin, random = 4, False
+        pid, start, control, counter = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), p[3] >> 4 & 3, p[3] & 15
+        begin, random, fresh = 4, False, False
         if control & 2:
             begin += 1 + p[4]
-            random = p[4] > 0 and bool(p[5] & 0x40)
+            random, fresh = p[4] > 0 and bool(p[5] & 0x40), p[4] > 0 and bool(p[5] & 0x80)
         if not control & 1:
             continue
-        if pid in last and (last[pid] + 1 & 15) != p[3] & 15:
-            out.gaps += 1
-        last[pid] = p[3] & 15
         body = p[begin:]
-        if pid == 0 and start:
-            s = _sections(body)[5:]
-            out.programs |= {int.from_bytes(s[i : i + 2], "big"): int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(s), 4)}
-        elif pid in out.programs.values() and start:
-            s = _sections(body)[5:]
-            i = 4 + (int.from_bytes(s[2:4], "big") & 0xFFF)
-            while i + 5 <= len(s):
-                out.streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
-                i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
-            target = next(iter(out.streams), None)
+        gap = False
+        if pid in last and not fresh:
+            old, held, again = last[pid]
+            if counter == old and body == held and not again:
+                last[pid] = (old, held, True)
+                continue
+            gap = counter != old + 1 & 15
+            out.gaps += gap
+        last[pid] = (counter, body, False)
+        if pid == 0 or pid in out.programs.values():
+            own = tables.setdefault(pid, Sections())
+            if gap:
+                own.held = None
+            for s in own.feed(body, start):
+                s = s[3:-4][5:]
+                if pid == 0:
+                    out.programs |= {int.from_bytes(s[i : i + 2], "big"): int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(s) - 3, 4) if s[i : i + 2] != b"\0\0"}
+                    continue
+                i = 4 + (int.from_bytes(s[2:4], "big") & 0xFFF)
+                while i + 5 <= len(s):
+                    out.streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
+                    i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
+                target = next(iter(out.streams), None)
         elif pid == target:
+            broken |= gap
             if start:
                 flush()
-                access = number if random else None
-            unit += body
+                unit.clear()
+                access, broken = number if random else None, False
+            if not broken:
+                unit += body
     flush()
     out.payload = b"".join(chunks)
     return out
