@@ -66,8 +66,11 @@ class Codes:
         self.words = np.ascontiguousarray(codes).view(np.uint64)
         parts = np.ascontiguousarray(codes).view(np.uint16)
         self.n, self.m = parts.shape
-        self.order = np.argsort(parts, axis=0, kind="stable").astype(np.int32)
-        self.start = np.stack([np.searchsorted(parts[self.order[:, j], j], np.arange(65537)) for j in range(self.m)]).astype(np.int32)
+        order = np.argsort(parts, axis=0, kind="stable")
+        start = [np.searchsorted(parts[order[:, j], j], np.arange(65537)) + j * self.n for j in range(self.m)]
+        # the tables one after the other: rows by value, and the place of each value's first row
+        self.order, self.start = order.T.ravel().astype(np.int32), np.concatenate(start)
+        self.base = (np.arange(self.m) * 65537)[:, None]
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
         """Rows whose code differs from `code` in at most `radius` bits, and how many rows were looked at.
@@ -75,18 +78,16 @@ class Codes:
         The tables hold every such row under a value within floor(radius / substrings) bits of the code's.
         Where the values to probe outnumber the block's rows, its codes are compared in turn.
         """
-        near, own = _masks(radius // self.m), code.view(np.uint16)
+        near = _masks(radius // self.m)
         if len(near) * self.m > self.n:
             found = np.arange(self.n)
         else:
-            found = []
-            for j in range(self.m):
-                at = near ^ own[j]
-                lo, size = self.start[j, at], self.start[j, at.astype(np.int64) + 1] - self.start[j, at]
-                some = size > 0
-                lo, size = lo[some].astype(np.int64), size[some].astype(np.int64)
-                found.append(self.order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), j])
-            found = np.unique(np.concatenate(found))
+            at = ((near[None, :] ^ code.view(np.uint16)[:, None]).astype(np.int64) + self.base).ravel()
+            lo = self.start[at]
+            size = self.start[at + 1] - lo
+            some = np.flatnonzero(size)
+            lo, size = lo[some], size[some]
+            found = np.unique(self.order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())])
         apart = np.bitwise_count(self.words[found] ^ code.view(np.uint64)).sum(1)
         return found[apart <= radius], len(found)
 
@@ -130,8 +131,9 @@ def learn(x: np.ndarray, top: float, k: int, bits: int = BITS) -> tuple[np.ndarr
     near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
     apart = np.bitwise_count(codes[near] ^ asked[:, None, :]).sum(2).ravel() if near.size else np.array([bits])
     last = int(np.quantile(apart, TARGET, method="higher")) if len(x) > 4 * k else bits
-    m = bits // 16
-    return maps, [*[r for r in range(m - 1, last, m)], last]
+    # rungs so low that hardly a row of the sample has a neighbour there are left out
+    m, low = bits // 16, 0.7 * float(np.quantile(apart.reshape(len(q), -1).min(1), 0.01)) if near.size else 0
+    return maps, [*[r for r in range(m - 1, last, m) if r >= low], last]
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probes: bool = False) -> DataFrame:
@@ -177,7 +179,11 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
                     if radius == ladder[-1] or len(found) <= some:
                         continue
                     _, near = best(vector, own, ids, vectors, found, some)
-                    if len(near) == some and reach(near[-1] / (norm * top)) <= radius:
+                    if len(near) == some:
+                        need = int(np.ceil(reach(near[-1] / (norm * top))))
+                        if need > radius:  # farther ones cannot come nearer than this
+                            found, rows = table.within(code, min(need, ladder[-1]))
+                            looked = max(looked, rows)
                         break
                 if len(found) < len(ids) and (ids[found] != own).sum() < some:
                     found = np.arange(len(ids))  # too few within the last radius: the whole block
