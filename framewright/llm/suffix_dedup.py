@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from framewright.llm import common
 from framewright.llm.common import dropped, stored
 
-SEED, COVER, WORK = 64, 64, 4 << 20
+SEED, COVER, WORK = 64, 64, 2 << 20
 #: Bytes of different stretches beyond which a bucket is split, and bytes of a text read at once.
-HOT, SEGMENT = 8 << 20, 1 << 26
+HOT, SEGMENT = 4 << 20, 1 << 26
 #: Low bits of a comparison key that hold the place.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -90,10 +90,8 @@ class Block:
         while deep < width:
             deep *= 2
         padded = np.concatenate([text, np.zeros(deep + 2 * COVER + width + 8, np.uint8)])
-        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        self.key = np.zeros(len(eight), np.uint64)
-        for j in range(8):
-            self.key = self.key << np.uint64(8) | eight[:, j].astype(np.uint64)
+        # the eight bytes from each place, as one big-endian number
+        self.key = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,)).astype(np.uint64)
         member, self.delta = difference_cover()
         size = self.n + deep + 2 * COVER
         places = np.flatnonzero(np.resize(member, size))
