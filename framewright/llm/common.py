@@ -7,12 +7,13 @@ block of its own), so that a worker's memory follows the block and not the Arrow
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system when a task ends: Spark keeps its Python workers for later tasks."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of about `limit` bytes of text: (slice, bytes, offsets)."""
     for batch in batches:
@@ -291,7 +305,7 @@ def forest(links: DataFrame) -> DataFrame:
                     own.join(a, b)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -281,8 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     good = stored(labelled(docs, labels), "labelled")
     drawn = good.withColumn("key", F.xxhash64("doc_id", F.lit("cotrain"))).orderBy("key", "doc_id").limit(sample)
     rows = _viewed(docs).join(F.broadcast(drawn), "doc_id").select("text", "source", "lang", "good", "key")  # `sample` rows at most
-    got = rows.mapInArrow(_features, "key long, good int, dense binary, words binary, meta binary").repartition(1)
-    got = got.mapInArrow(_prepare, "share double, evidence binary, edges binary, content binary, meta binary, y binary, fold binary").first()
+    got = rows.mapInArrow(common.trimmed(_features), "key long, good int, dense binary, words binary, meta binary").repartition(1)
+    got = got.mapInArrow(common.trimmed(_prepare), "share double, evidence binary, edges binary, content binary, meta binary, y binary, fold binary").first()
     model = Model(share=got["share"] if got else 1.0)
     if not got or not got["evidence"]:
         dropped(good)
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
                 yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), *(b.column(i).take(pa.array(cols[3], pa.int64())) for i in (0, 1))], names=["view", "label", "p", "content", "meta"])
 
         best = Window.partitionBy("view", "label").orderBy(F.desc("p"), F.xxhash64("content", "meta"))
-        top = pool.mapInArrow(run, "view int, label int, p double, content binary, meta binary").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= handed)
+        top = pool.mapInArrow(common.trimmed(run), "view int, label int, p double, content binary, meta binary").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= handed)
         return [(r["view"], r["label"], bytes(r["content"]), bytes(r["meta"])) for r in top.orderBy("view", "label", "rank").collect()]  # 4 * handed rows at most
 
     out = cotrain(model, own, surest, rounds)
@@ -325,7 +325,7 @@ def _pool(docs: DataFrame, good: DataFrame, model: Model) -> DataFrame:
             meta = metadata(part.column("source").to_pylist(), part.column("lang").to_pylist(), np.diff(off)).astype("<i2")
             yield pa.record_batch([part.column("doc_id"), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (content, meta))], names=["doc_id", "content", "meta"])
 
-    views = _viewed(docs).mapInArrow(run, "doc_id long, content binary, meta binary")
+    views = _viewed(docs).mapInArrow(common.trimmed(run), "doc_id long, content binary, meta binary")
     # rows without an id have no label; they stay out of the join, where they would be one key
     return views.filter("doc_id is not null").join(good, "doc_id", "left_anti").unionByName(views.filter("doc_id is null")).select("content", "meta").distinct()
 
@@ -345,7 +345,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([*part.columns, pa.array(a), pa.array(b), pa.array(p), pa.array(p >= 0.5)], names=[*names, *SCORES])
 
     kind = StructType([*docs.schema.fields]).add("p_content", "double").add("p_meta", "double").add("p_quality", "double").add("keep", "boolean")
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(common.trimmed(run), kind)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([int(x.sum())], pa.int64()), pa.array([np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes()], pa.binary())], names=["slice", "total", "counts"])
 
     with small_batches(docs.sparkSession, 2000):
-        sums = stored(docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, total long, counts binary"), "shingle-counts")
+        sums = stored(docs.select("text").mapInArrow(common.trimmed(count), "slice int, counts binary").repartition(16, "slice").mapInArrow(common.trimmed(add), "slice int, total long, counts binary"), "shingle-counts")
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / SKETCH
     usual = mean + 6 * mean**0.5 + 6
 
@@ -95,7 +95,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.record_batch([b.column(0), pa.array(x, pa.binary())], names=["slice", "classes"])
 
     out = np.zeros(SKETCH, np.uint8)
-    for r in sums.select("slice", "counts").mapInArrow(classed, "slice int, classes binary").collect():
+    for r in sums.select("slice", "counts").mapInArrow(common.trimmed(classed), "slice int, classes binary").collect():
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["classes"], np.uint8)
     dropped(sums)
     return out
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
             yield pa.record_batch([*part.columns[:2], pa.array(n, pa.int64()), long(f1), long(f2), long(ph), keys], names=["row", "doc_id", "n", "f1", "f2", "ph", "keys"])
 
-    out = stored(docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, ph long, keys array<long>"), "jaccard-prefixes")
+    out = stored(docs.select("row", "doc_id", "text").mapInArrow(common.trimmed(run), "row long, doc_id long, n long, f1 long, f2 long, ph long, keys array<long>"), "jaccard-prefixes")
     held.destroy()
     return out
 
@@ -136,7 +136,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "keys"])
 
     own = docs.join(nodes.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("row", "text")
-    return own.mapInArrow(run, "node long, keys binary")
+    return own.mapInArrow(common.trimmed(run), "node long, keys binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with small_batches(docs.sparkSession):
-        out = stored(both.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long"), "jaccard-links")
+        out = stored(both.select("a", "b", "ka", "kb").mapInArrow(common.trimmed(run), "a long, b long"), "jaccard-links")
     dropped(sets)
     return out
 

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm import common
 from framewright.llm.common import ranked, stored
 
 #: Pre-tokens that a worker remembers; beyond it starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 class WordCache:
@@ -106,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, width: int = 2048, closing: int = 0
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=[id_col, "piece", "start", "length", "ids_crc32", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(common.trimmed(run), f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int, int]]:

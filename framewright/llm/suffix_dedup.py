@@ -192,7 +192,7 @@ def stretches(docs: DataFrame, width: int) -> DataFrame:
                 row = part.column(0).take(pa.array(doc[start]))
                 yield pa.record_batch([row, pa.array(seed[a[i]].view(np.int64)), pa.array(prefix.of(start, end).view(np.int64)), pa.array((start + at - off[doc[start]]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["row", "bucket", "own", "start", "n"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, bucket long, own long, start int, n int")
+    return docs.select("row", "text").mapInArrow(common.trimmed(run), "row long, bucket long, own long, start int, n int")
 
 
 class Minima:
@@ -254,13 +254,13 @@ def split(pieces: DataFrame, width: int, level: int) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(r)
                 held += len(r[3])
-                if held > common.BLOCK:
+                if held > common.BLOCK // 4:
                     yield parts(rows)
                     rows, held = [], 0
         if rows:
             yield parts(rows)
 
-    return pieces.select("bucket", "own", "n", "text", "row", "start").mapInArrow(run, "bucket long, own long, shift long, row long, start long, n long, pbucket long, pown long")
+    return pieces.select("bucket", "own", "n", "text", "row", "start").mapInArrow(common.trimmed(run), "bucket long, own long, shift long, row long, start long, n long, pbucket long, pown long")
 
 
 def sorted_buckets(pieces: DataFrame, width: int) -> DataFrame:
@@ -300,7 +300,7 @@ def sorted_buckets(pieces: DataFrame, width: int) -> DataFrame:
             yield from flush(rows)
 
     dealt = pieces.select("bucket", "own", "n", "text").repartition("bucket").sortWithinPartitions("bucket", "own")
-    return dealt.mapInArrow(run, "bucket long, own long, lo int, hi int")
+    return dealt.mapInArrow(common.trimmed(run), "bucket long, own long, lo int, hi int")
 
 
 def _cut(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -319,7 +319,7 @@ def _cut(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()], strict=True)], names=["bucket", "own", "n", "text", "row", "start"])
 
-    return both.mapInArrow(run, "bucket long, own long, n int, text binary, row long, start int")
+    return both.mapInArrow(common.trimmed(run), "bucket long, own long, n int, text binary, row long, start int")
 
 
 def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> DataFrame:
@@ -339,7 +339,9 @@ def marks(kinds: DataFrame, docs: DataFrame, width: int, level: int = 0) -> Data
     if not hot:
         dropped(some)
         return out
-    parts = stored(split(_cut(some.filter("hot"), docs, width), width, level + 1), "stretch-parts")
+    texts = stored(_cut(some.filter("hot"), docs, width), "stretch-texts")
+    parts = stored(split(texts, width, level + 1), "stretch-parts")
+    dropped(texts)
     inner = parts.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("x")).select("bucket", "own", "c", "x.*")
     inner = stored(inner, "stretch-kinds")
     found = marks(inner, docs, width, level + 1)
@@ -402,5 +404,5 @@ def dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: s
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
+    out = both.mapInArrow(common.trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, row long")
     return out.drop(*([] if keep_text else ["kept"]), *([] if row_col else ["row"]))

@@ -26,6 +26,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framewright.llm import common
+
 PACKET, UNIT = 188, 192
 PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x0100, 0x0101, 0x06, 0xBD
 #: 192-byte units in an access unit, access units between random-access points, samples a second.
@@ -232,7 +234,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 raw = [t.encode() if t is not None else b"" for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([mux(padded(t)) for t in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return out.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return out.mapInArrow(common.trimmed(run), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -252,4 +254,4 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), kind]
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[id_col, "n_bytes", *(f.split(" ")[0] for f in fields.split(", "))])
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {media.schema[id_col].dataType.simpleString()}, n_bytes long, {fields}")
+    return media.select(id_col, "n_bytes", "media").mapInArrow(common.trimmed(run), f"{id_col} {media.schema[id_col].dataType.simpleString()}, n_bytes long, {fields}")

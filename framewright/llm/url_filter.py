@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm import common
+
 #: (host, path, verdict); an empty path fits every path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BITS = 14
@@ -105,7 +107,7 @@ def scored(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_c
                 out.append(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(1, len(g))) + w[-1]))))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["page_id", "url", "p_block"])
 
-    return pages.select(F.col(id_col), F.col(url_col).cast("string")).mapInArrow(run, f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, p_block double")
+    return pages.select(F.col(id_col), F.col(url_col).cast("string")).mapInArrow(common.trimmed(run), f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, p_block double")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
