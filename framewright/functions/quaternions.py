@@ -77,11 +77,10 @@ def smoothed(qs: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 
 
 def interpolated(frames: np.ndarray, q: np.ndarray, t: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Missing rotations by slerp and translations linearly between valid neighbours; ends copy the nearest, none valid gives identity."""
+    """Missing rotations by slerp and translations linearly between valid neighbours; ends copy the nearest; with none valid all stay as they are."""
     known = np.flatnonzero(valid)
     q, t = q.copy(), t.copy()
     if not len(known):
-        q[:], t[:] = [0, 0, 0, 1], 0
         return q, t
     for i in np.flatnonzero(~valid):
         k = np.searchsorted(known, i)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def task_table(episodes: DataFrame, task: str) -> DataFrame:
@@ -12,10 +13,24 @@ def task_table(episodes: DataFrame, task: str) -> DataFrame:
     return t.withColumn("task_index", (F.dense_rank().over(Window.orderBy(task)) - 1).cast("long"))
 
 
-def episode_table(episodes: DataFrame, order: str, length: str, group: list[str] | None = None) -> DataFrame:
-    """Dense episode_index and frame_offset in order, for each group apart; one row an episode."""
-    w = Window.partitionBy(*group).orderBy(order) if group else Window.orderBy(order)
-    return episodes.withColumn("episode_index", (F.row_number().over(w) - 1).cast("long")).withColumn("frame_offset", (F.sum(length).over(w) - F.col(length)).cast("long"))
+def episode_table(episodes: DataFrame, order: str, length: str, group: list[str] | None = None, cuts: int = 256) -> DataFrame:
+    """Dense episode_index and frame_offset in order, for each group apart; one row an episode.
+
+    Without groups a numeric order is dealt into value ranges: each is numbered on its own and shifted
+    by the rows and lengths of the ranges before it, so no task orders all episodes.
+    """
+    number = lambda w: (F.row_number().over(w) - 1).cast("long")
+    before = lambda w: (F.sum(length).over(w) - F.col(length)).cast("long")
+    if group or not isinstance(episodes.schema[order].dataType, NumericType):
+        w = Window.partitionBy(*group).orderBy(order) if group else Window.orderBy(order)
+        return episodes.withColumn("episode_index", number(w)).withColumn("frame_offset", before(w))
+    bounds = sorted(set(episodes.approxQuantile(order, [i / cuts for i in range(1, cuts)], 0.002)))
+    df = episodes.withColumn("_p", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(order))) if bounds else F.lit(0))
+    w, upto = Window.partitionBy("_p").orderBy(order), Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sum(length).alias("_l"))
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_i"), F.coalesce(F.sum("_l").over(upto), F.lit(0)).alias("_o"))  # at most `cuts` rows
+    df = df.withColumn("episode_index", number(w)).withColumn("frame_offset", before(w)).join(F.broadcast(sizes), "_p")
+    return df.withColumn("episode_index", F.col("episode_index") + F.col("_i")).withColumn("frame_offset", (F.col("frame_offset") + F.col("_o")).cast("long")).drop("_p", "_i", "_o")
 
 
 def frame_columns(frames: DataFrame, episodes: DataFrame, key: str, t: str, fps: float, length: str = "length") -> DataFrame:

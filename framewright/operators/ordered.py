@@ -34,6 +34,8 @@ def interpolated_poses(df: DataFrame, key: list[str], frame: str, q: str, t: str
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(frame)
         valid = g[q].notna().to_numpy()
+        if not valid.any():
+            return g
         a, b = Q.interpolated(g[frame].to_numpy(float), Q.unit(np.nan_to_num(_array(g[q], 4))), np.nan_to_num(_array(g[t], 3)), valid)
         return g.assign(**{q: list(a), t: list(b)})
 
@@ -52,15 +54,16 @@ def mean_rotation(df: DataFrame, key: list[str], frame: str, q: str, running: bo
 
 
 def aligned(df: DataFrame, key: list[str], frame: str) -> DataFrame:
-    """Scale and translation from (q, t) to (ref_q, ref_t) over each group's frames."""
+    """Scale, rotation matrix and translation from (q, t) to (ref_q, ref_t) over each group's frames."""
+    turn = [f"r{i}{j}" for i in range(3) for j in range(3)]
     kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
 
     def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(frame)
         s, r, t = Q.sim3(Q.unit(_array(g["q"], 4)), _array(g["t"], 3), Q.unit(_array(g["ref_q"], 4)), _array(g["ref_t"], 3))
-        return pd.DataFrame([[*k, s, r[0, 0], *t]], columns=[*key, "scale", "r00", "tx", "ty", "tz"])
+        return pd.DataFrame([[*k, s, *r.ravel(), *t]], columns=[*key, "scale", *turn, "tx", "ty", "tz"])
 
-    return df.select(*key, frame, "q", "t", "ref_q", "ref_t").groupBy(*key).applyInPandas(run, f"{kind}, scale double, r00 double, tx double, ty double, tz double")
+    return df.select(*key, frame, "q", "t", "ref_q", "ref_t").groupBy(*key).applyInPandas(run, f"{kind}, scale double, {', '.join(f'{c} double' for c in turn)}, tx double, ty double, tz double")
 
 
 def up_vectors(df: DataFrame, key: list[str], frame: str, up: str) -> DataFrame:

@@ -7,6 +7,7 @@ result. `Stub` gives deterministic answers, so that whole flows run in tests.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -47,6 +48,53 @@ class Port:
         return j.withColumn(value, F.coalesce("_a", "_b")).withColumn("model", which).drop("_a", "_b")
 
 
+@dataclass(frozen=True)
+class Contract:
+    """What a model outside the engine takes and gives: its unit of work, the columns it reads, its result."""
+
+    unit: str
+    takes: str
+    gives: str
+
+    def port(self, name: str, run: Callable[[pd.DataFrame], pd.DataFrame]) -> Port:
+        return Port(name, self.gives, run)
+
+
+_BOX = "x1 double, y1 double, x2 double, y2 double"
+_POSE = "q array<double>, t array<double>"
+#: Every model that the flows call, by name.
+CONTRACTS = {
+    "video_frames": Contract("clip", "clip_id string, path string", "clip_id string, frame_id int, height int, width int, image binary"),
+    "video_header": Contract("clip", "clip_id string, path string", "clip_id string, height int, width int, fps double, frames long"),
+    "video_sink": Contract("segment", "seg_name string, frame_id int, image binary", "seg_name string, path string, frames long, fps double"),
+    "motion": Contract("frame", "clip_id string, frame_id int, image binary", "clip_id string, frame_id int, is_moving boolean, laplacian double"),
+    "calibrator": Contract("window", "clip_id string, w_start int, image binary", "clip_id string, w_start int, fx double, fy double, cx double, cy double, xi double"),
+    "hand_detector": Contract("frame", "clip_id string, frame_id int, image binary", f"clip_id string, frame_id int, hand_idx int, {_BOX}, conf double, side int, side_conf double"),
+    "tracker": Contract("clip", f"clip_id string, frame_id int, hand_idx int, {_BOX}, conf double", "clip_id string, frame_id int, hand_idx int, track int"),
+    "hand_mesh": Contract("window", f"clip_id string, w_start int, frame_id int, hand_idx int, {_BOX}, image binary", "clip_id string, w_start int, frame_id int, hand_idx int, kpts3d array<array<double>>, wrist_rot array<double>, finger_rot array<array<double>>, hand_mask binary"),
+    "slam": Contract("window", "clip_id string, w_start int, frame_id int, image binary", f"clip_id string, w_start int, frame_id int, {_POSE}"),
+    "metric_depth": Contract("frame", "clip_id string, frame_id int, image binary", "clip_id string, frame_id int, scale double"),
+    "gravity": Contract("frame", "clip_id string, frame_id int, image binary", "clip_id string, frame_id int, pitch double, roll double, up array<double>"),
+    "person_detector": Contract("frame", "clip_id string, frame_id int, image binary", f"clip_id string, frame_id int, person int, {_BOX}, conf double"),
+    "caption": Contract("window", "clip_id string, w_start int, w_end int, sample int", "clip_id string, w_start int, w_end int, sample int, answer string"),
+    "text_gate": Contract("window", "clip_id string, w_start int, w_end int, sample int, left string, right string, bimanual string", "clip_id string, w_start int, w_end int, sample int, answer string"),
+    "visual_gate": Contract("window", "clip_id string, w_start int, w_end int, sample int, left string, right string, bimanual string", "clip_id string, w_start int, w_end int, sample int, answer string"),
+    "segmenter": Contract("window", "clip_id string, w_start int, frame_id int, image binary", "clip_id string, w_start int, frame_id int, arm_mask binary"),
+    "inpainter": Contract("window", "clip_id string, w_start int, frame_id int, image binary, arm_mask binary", "clip_id string, w_start int, frame_id int, image binary"),
+    "solver": Contract("segment", "seg_name string, frame_id int, targets array<double>", "seg_name string, frame_id int, joints array<double>, cost double"),
+    "kinematics": Contract("segment", "seg_name string, frame_id int, joints array<double>", f"seg_name string, frame_id int, link string, {_POSE}"),
+    "renderer": Contract("segment", f"seg_name string, frame_id int, joints array<double>, {_POSE}", "seg_name string, frame_id int, image binary, semantic binary"),
+    "undistortion_maps": Contract("clip", "clip_id string, fx double, fy double, cx double, cy double, xi double, height int, width int", "clip_id string, map_x binary, map_y binary, scale double"),
+    "compositor": Contract("frame", "seg_name string, frame_id int, image binary, overlay binary, semantic binary", "seg_name string, frame_id int, image binary"),
+}
+
+
+def blank(contract: Contract) -> Port:
+    """A port that keeps the columns it knows and leaves the rest of its result null."""
+    names = [f.split(" ")[0] for f in re.findall(r"\w+ (?:array<[^ ]+>|\w+)", contract.gives)]
+    return contract.port("blank", lambda b: pd.DataFrame({n: b[n] if n in b else pd.Series([None] * len(b), dtype=object) for n in names}))
+
+
 def _hash(*x) -> int:
     return zlib.crc32(repr(x).encode())
 

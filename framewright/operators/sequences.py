@@ -154,15 +154,18 @@ def top_share(df: DataFrame, key: list[str], score: str, tie: str, share: float,
     return df.filter(F.col("_r") <= F.greatest(F.floor(F.col("_n") * share), F.least(F.lit(least), F.col("_n")))).drop("_r", "_n")
 
 
-def speed_weights(df: DataFrame, key: list[str], frame: str, value: str, limit: float, fps: float, out: str) -> DataFrame:
-    """exp(-score^4) of the greater of speed and acceleration over the limit, at least 0.01."""
-    w = by(key, frame)
-    v = F.abs(F.col(value) - F.lag(value).over(w)) * fps
-    df = df.withColumn("_v", F.coalesce(v, F.lit(0.0)))
-    ahead, behind = F.lead(value).over(w), F.lag(value).over(w)
-    a = F.coalesce(F.abs(ahead - 2 * F.col(value) + behind) * fps, F.lit(0.0))
-    df = df.withColumn("_a", a)
-    return df.withColumn(out, F.greatest(F.exp(-F.pow(F.greatest("_v", "_a") / limit, 4)), F.lit(0.01))).drop("_v", "_a")
+def speed_weights(df: DataFrame, key: list[str], frame: str, value: str | list[str], limit: float, fps: float, out: str, valid: str | None = None, least: float = 0.01) -> DataFrame:
+    """exp(-score^4) of the greater of speed and acceleration over the limit, at least `least`; 0 where `valid` is not true.
+
+    value: one coordinate or several. The first frame has no speed, the first and the last no acceleration.
+    """
+    w, axes = by(key, frame), [value] if isinstance(value, str) else value
+    norm = lambda parts: F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
+    speed = norm([F.col(c) - F.lag(c).over(w) for c in axes])
+    turn = norm([F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w) for c in axes])
+    score = F.greatest(F.coalesce(speed, F.lit(0.0)), F.coalesce(turn, F.lit(0.0))) * fps / limit
+    weight = F.greatest(F.exp(-F.pow(score, 4)), F.lit(least))
+    return df.withColumn(out, F.when(F.col(valid), weight).otherwise(0.0) if valid else weight)
 
 
 def waypoints(df: DataFrame, key: list[str], frame: str, every: int) -> DataFrame:

@@ -116,17 +116,6 @@ def cosine_blend(spark, d):
     return R.cosine_blend(e, ["episode"], "t", "size", "x").withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH {EP}, p AS (SELECT a.episode, abs(a.l_quantity - b.l_quantity) / nullif(abs(a.l_partkey - b.l_partkey), 0) AS r FROM ep a JOIN ep b ON a.episode = b.episode AND a.t < b.t)
-SELECT episode, round(CASE WHEN count(r) < 3 THEN 1.0 WHEN quantile_cont(r, 0.5) BETWEEN 0.001 AND 2 THEN quantile_cont(r, 0.5) ELSE 1.0 END, 6) AS scale FROM p GROUP BY 1""")
-def pairwise_ratio_median(spark, d):
-    e = episodes(spark, d).select("episode", "t", "l_quantity", "l_partkey")
-    b = e.select("episode", F.col("t").alias("t2"), F.col("l_quantity").alias("q2"), F.col("l_partkey").alias("p2"))
-    # pairs within one episode, which is short by the episode length filter
-    p = e.join(b, "episode").filter("t < t2").withColumn("r", F.abs(F.col("l_quantity") - F.col("q2")) / F.nullif(F.abs(F.col("l_partkey") - F.col("p2")), F.lit(0)))
-    m = p.groupBy("episode").agg(F.percentile("r", F.lit(0.5)).alias("m"), F.count("r").alias("n"))
-    return m.select("episode", F.round(F.when((F.col("n") >= 3) & F.col("m").between(0.001, 2), F.col("m")).otherwise(1.0), 6).alias("scale"))
-
-
 @query(f"""WITH {DET}, q AS (SELECT clip_id, frame_id, bool_or(side = 0 AND conf > 0.1) AS l, bool_or(side = 1 AND conf > 0.1) AS r FROM det GROUP BY 1, 2) SELECT clip_id, frame_id, CASE WHEN l AND r THEN 'bimanual' WHEN l THEN 'left_only' ELSE 'right_only' END AS mode FROM q WHERE l OR r""")
 def hand_mode(spark, d):
     ok = F.col("conf") > 0.1
@@ -164,12 +153,6 @@ def coverage_select(spark, d):
     return S.first_of(s, ["win"], F.desc("n_phrases"), F.desc("freq"), F.col("sample")).select("win", "sample", F.col("l").alias("text"))
 
 
-@query("""SELECT p_size AS win, min(CASE WHEN p_partkey % 41 = 0 THEN 'other_person' WHEN p_partkey % 43 = 0 THEN 'walking' END) AS code FROM part GROUP BY 1 HAVING bool_or(p_partkey % 41 = 0 OR p_partkey % 43 = 0)""")
-def any_reject_gate(spark, d):
-    code = F.when(F.col("p_partkey") % 41 == 0, "other_person").when(F.col("p_partkey") % 43 == 0, "walking")
-    return table(spark, d, "part").groupBy(F.col("p_size").alias("win")).agg(F.min(code).alias("code")).filter("code is not null")
-
-
 @query(f"WITH {_SAMPLES} SELECT CAST((l IS NOT NULL)::INT + (r IS NOT NULL)::INT + (bi IS NOT NULL)::INT AS INTEGER) AS n_active, count(*) AS n FROM sm GROUP BY 1")
 def action_count_dist(spark, d):
     active = sum((F.col(c).isNotNull().cast("int") for c in ("l", "r", "bi")), F.lit(0))

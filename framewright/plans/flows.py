@@ -16,7 +16,7 @@ from framewright.operators import sequences as S
 from framewright.operators.ports import Port, caption_stub
 from framewright.plans.registry import query
 from framewright.plans.texts import _NARRATION, merged, narration
-from framewright.sources.adapters import frames, table
+from framewright.sources.adapters import frames
 
 #: Agreement that a field needs: samples, share.
 CONSENSUS = {"left": (2, 0.4), "right": (2, 0.4), "bimanual": (1, 0.25)}
@@ -95,8 +95,3 @@ def detected_frames(spark, d):
 
     q = detect_stub().rows(frames(spark, d).select("clip_id", "frame_id"))
     return q.filter("conf > 0.5").groupBy("clip_id", "side").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM labels")
-def labelled_rows(spark, d):
-    return table(spark, d, "labels").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))

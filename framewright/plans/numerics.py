@@ -1,4 +1,4 @@
-"""Queries of the order-dependent numeric operators; tests compare them with plain NumPy."""
+"""Queries of the order-dependent numeric operators."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from framewright.operators import robust as R
 from framewright.operators import sequences as S
 from framewright.plans.aggregates import tracks
 from framewright.plans.registry import query
-from framewright.sources.adapters import detections, frames, vectors
+from framewright.sources.adapters import detections, vectors
 
 
 def _poses(spark, d):
@@ -29,13 +29,16 @@ def quat_mean_first(spark, d):
 
 
 @query("""WITH q AS (SELECT vec_id AS frame_id, v[1] / n AS x, v[2] / n AS y, v[3] / n AS z, v[4] / n AS w FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([a::DOUBLE * a::DOUBLE FOR a IN embedding[1:4]])) AS n FROM embeddings))
-SELECT frame_id, round(1 - 2 * (y * y + z * z), 6) + 0.0::DOUBLE AS r00, round(2 * (x * y - z * w), 6) + 0.0::DOUBLE AS r01, round(2 * (x * z + y * w), 6) + 0.0::DOUBLE AS r02 FROM q""")
+SELECT frame_id, round(1 - 2 * (y * y + z * z), 6) + 0.0::DOUBLE AS r00, round(2 * (x * y - z * w), 6) + 0.0::DOUBLE AS r01, round(2 * (x * z + y * w), 6) + 0.0::DOUBLE AS r02,
+round(2 * (x * y + z * w), 6) + 0.0::DOUBLE AS r10, round(1 - 2 * (x * x + z * z), 6) + 0.0::DOUBLE AS r11, round(2 * (y * z - x * w), 6) + 0.0::DOUBLE AS r12,
+round(2 * (x * z - y * w), 6) + 0.0::DOUBLE AS r20, round(2 * (y * z + x * w), 6) + 0.0::DOUBLE AS r21, round(1 - 2 * (x * x + y * y), 6) + 0.0::DOUBLE AS r22 FROM q""")
 def quat_to_matrix(spark, d):
     """In column expressions, as the closed form needs no order."""
     v = vectors(spark, d)
     n = F.sqrt(F.aggregate(F.slice("v", 1, 4), F.lit(0.0), lambda s, a: s + a * a))
     x, y, z, w = (F.get("v", i) / n for i in range(4))
     r = {"r00": 1 - 2 * (y * y + z * z), "r01": 2 * (x * y - z * w), "r02": 2 * (x * z + y * w)}
+    r |= {"r10": 2 * (x * y + z * w), "r11": 1 - 2 * (x * x + z * z), "r12": 2 * (y * z - x * w), "r20": 2 * (x * z - y * w), "r21": 2 * (y * z + x * w), "r22": 1 - 2 * (x * x + y * y)}
     return v.select("frame_id", *[(F.round(c, 6) + 0.0).alias(k) for k, c in r.items()])
 
 
@@ -90,11 +93,3 @@ def greedy_conflict(spark, d):
 def cosine_pair_error(spark, d):
     v = vectors(spark, d).select("frame_id", F.slice("v", 1, 30).alias("a"), F.slice("v", 31, 30).alias("b"))
     return O.pair_direction_error(v, ["frame_id"], "a", "b", [(i, j) for i in range(10) for j in range(i + 1, 10) if j - i <= 2])
-
-
-@query()
-def frame_runs_of_poses(spark, d):
-    """Runs of frames with their pose count: sessions, then a left join."""
-    runs = S.gap_sessions(frames(spark, d), ["clip_id"])
-    n = _poses(spark, d).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_poses"))
-    return runs.join(n, "clip_id", "left")

@@ -181,16 +181,6 @@ def top_ratio(spark, d):
     return S.top_share(frames(spark, d), KEY, "value", "frame_id", 0.3, 50).select("clip_id", "frame_id")
 
 
-@query(f"""WITH {DET}, q AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_id, side, conf >= 0.05 ORDER BY conf DESC, hand_idx) AS r FROM det)
-SELECT clip_id, frame_id, hand_idx, side, round(CASE WHEN conf >= 0.05 AND r > 1 THEN least(conf, 0.049) ELSE conf END, 6) AS side_conf FROM q""")
-def side_claim(spark, d):
-    q = detections(spark, d)
-    r = F.row_number().over(Window.partitionBy("clip_id", "frame_id", "side", F.col("conf") >= 0.05).orderBy(F.desc("conf"), "hand_idx"))
-    q = q.withColumn("r", r)
-    capped = F.when((F.col("conf") >= 0.05) & (F.col("r") > 1), F.least("conf", F.lit(0.049))).otherwise(F.col("conf"))
-    return q.select("clip_id", "frame_id", "hand_idx", "side", F.round(capped, 6).alias("side_conf"))
-
-
 @query(f"""WITH RECURSIVE {FRAMES}, {RUNS}, t AS (SELECT clip_id, run_id, start_frame AS frame_id, start_frame + 15 AS nxt FROM runs UNION ALL
 SELECT t.clip_id, t.run_id, (SELECT min(frame_id) FROM s WHERE s.clip_id = t.clip_id AND s.run_id = t.run_id AND s.frame_id >= t.nxt), t.nxt + 15 FROM t WHERE t.frame_id IS NOT NULL),
 u AS (SELECT * FROM t WHERE frame_id IS NOT NULL) SELECT DISTINCT clip_id, run_id, CAST(frame_id AS BIGINT) AS frame_id FROM u""")

@@ -15,8 +15,14 @@ def shard_table(spark: SparkSession, root: str, columns: list[str] | None = None
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(root)
     df = df.select(*(sorted({"frame_id", *columns}) if columns else df.columns))
     df = df.withColumn("shard", F.regexp_extract(path, r"_(\d+)\.parquet$", 1).cast("int")).withColumn("clip_id", F.regexp_extract(path, r"([^/]+)_\d+\.parquet$", 1))
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.done").load(root).select(F.regexp_extract("path", r"([^/]+)\.done$", 1).alias("clip_id"))
-    return df.join(done, "clip_id", "left_semi")
+    return df.join(marked(spark, root), "clip_id", "left_semi")
+
+
+def marked(spark: SparkSession, root: str, suffix: str = ".done") -> DataFrame:
+    """clip_id of the markers under root. Markers are empty files, which Spark's readers pass over, so the driver lists them: one name a clip."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*{suffix}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame([(f.getPath().getName()[: -len(suffix)],) for f in found], "clip_id string")
 
 
 def clips(spark: SparkSession, root: str, suffix: str = ".mp4") -> DataFrame:

@@ -139,10 +139,10 @@ def tumbling_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour", la
     return e.groupBy(F.window(ts, width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("window.start", "window.end", "event_type", "n", "total")
 
 
-def once_per_clip(df: DataFrame, path: str, checkpoint: str):
-    """Write each micro-batch so that a repeated one replaces its own clips (exactly once by overwrite)."""
+def once_per_batch(df: DataFrame, path: str, checkpoint: str):
+    """Write each micro-batch in folders of its number and clips, so that a repeated batch replaces what it wrote itself and nothing else."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip_id").parquet(path)
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "clip_id").parquet(path)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
