@@ -74,3 +74,60 @@ def test_pack(stages):
     for _, g in p.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all()
+
+
+# ---- nulls, empty and long texts, ties, repeated rows and ids, clashing columns, empty tables
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    from tests.llm.test_edges import RAW
+
+    rows = [*RAW, (12, "another text under a repeated id " * 9), (None, RAW[4][1]), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row long, head long, kept string, copies int"
+    return rows, spark.createDataFrame([(k, t, None, None if (k or 0) % 2 else "s", len(t or ""), 7, 7, "x", 3) for k, t in rows], kind)
+
+
+def test_quality_of_edge_rows(spark, edges):
+    rows, docs = edges
+    out = P.quality(spark, docs, SF)
+    assert out.columns == P.COLUMNS and out.count() <= len(rows)
+
+
+def test_near_duplicates_of_edge_rows(spark, edges):
+    rows, docs = edges
+    got = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, SF).collect()]
+    groups: dict = {}
+    for i, (_, c) in brute_components(list(enumerate(t for _, t in rows))).items():
+        groups.setdefault(c, []).append(rows[i])
+    assert len(got) == len(groups)
+    for members in groups.values():
+        least = min(((k is None, k or 0) for k, _ in members))
+        assert any((k is None, k or 0) == least and (k, t) in members for k, t in got)
+
+
+def test_repeats_of_edge_rows(spark, edges):
+    rows, docs = edges
+    texts = [(t or "").encode() for _, t in rows]
+    want = []
+    for (k, t), raw, m in zip(rows, texts, brute_removed(texts, 200), strict=True):
+        rest = bytes(np.frombuffer(raw, np.uint8)[~m]) if raw else b""
+        if rest or not m.any():
+            want.append((str(k), None if t is None else rest.decode(errors="replace")))
+    got = [(str(r["doc_id"]), r["text"]) for r in P.exact_repeats(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mix_and_pack_of_edge_rows(spark, edges):
+    rows, docs = edges
+    mixed = P.mix(spark, docs, SF)
+    names = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    assert mixed.columns == P.COLUMNS and all((t or "").split() for _, t in names)
+    for x in set(names):
+        assert names.count(x) <= 2 * rows.count(x)
+    assert P.pack(spark, docs, SF).filter("piece = 0").count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, edges):
+    none = edges[1].limit(0)
+    assert [f(spark, none, SF).count() for _, f in P.STAGES] == [0] * 5
