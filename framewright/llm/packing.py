@@ -15,6 +15,7 @@ are encoded one at a time. Empty table: no rows. Other columns, whatever their n
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
@@ -83,12 +84,13 @@ class WordCache:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts, known = [None if not self.cached or self.added(t) else (self.split if self.other(t) else self.plain)(t) for t in texts], self.known
-        new = list({p for x in parts if x for p in x}.difference(known))
+        seen = set(itertools.chain.from_iterable(x for x in parts if x))
+        new = list(seen.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list({p for x in parts if x for p in x})
+            new = list(seen)
         self._learn(new)
-        return [self._whole(t) if x is None else b"".join([known[p] for p in x]) for t, x in zip(texts, parts, strict=True)]
+        return [self._whole(t) if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, parts, strict=True)]
 
 
 @functools.cache
