@@ -8,10 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: by zero NaN or an infinity, where Spark's division would stop."""
+    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(math.nan)).otherwise(F.signum(a) * math.inf)
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def side_vote(df: DataFrame, key: list[str], side: str, side_conf: str, weight: str) -> DataFrame:
-    """Weighted mean probability of the right side, the side it gives (0 left, 1 right) and the confidence in it."""
+    """Weighted mean probability of the right side, the side it gives (0 left, 1 right) and the confidence in it.
+
+    Weights that are all zero give NaN, which counts as right and as the largest number.
+    """
     p = F.when(F.col(side) == 1, F.col(side_conf)).otherwise(1 - F.col(side_conf))
-    g = df.groupBy(*key).agg((F.sum(p * F.col(weight)) / F.sum(weight)).alias("p_right"), F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(*key).agg(quotient(F.sum(p * F.col(weight)), F.sum(weight)).alias("p_right"), F.count(F.lit(1)).alias("n"))
     return g.withColumn("side", (F.col("p_right") >= 0.5).cast("int")).withColumn("side_conf", F.greatest("p_right", 1 - F.col("p_right")))
 
 

@@ -35,3 +35,25 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall())
     else:
         assert len(set(cols)) == len(cols)
+
+
+def agrees(spark, name, sf, tables):
+    """A query on other tables against its SQL."""
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    r = c.sql(ORACLES[name])
+    cols = sorted(r.columns)
+    got = sorted(tuple(norm(x[k]) for k in cols) for x in QUERIES[name](spark, str(sf)).collect())
+    assert got == sorted(tuple(norm(x[r.columns.index(k)]) for k in cols) for x in r.fetchall())
+    return got
+
+
+@pytest.mark.parametrize("name", ["evidence_rank"])
+def test_votes_without_weight(spark, tmp_path, name):
+    """Tracks whose weights are all zero, cancel out or are null, beside a plain one."""
+    rows = [(1, 0, 0.0), (1, 1, 0.0), (2, 2, 5.0), (2, 4, -5.0), (2, 700, 0.0), (3, 5, None), (3, 800, 0.0), (3, 6000, 40.0), (4, 8, 30.0), (4, 9, 20.0)]
+    values = ", ".join(f"({u}, {i}, {'NULL' if v is None else v}::DOUBLE)" for u, i, v in rows)
+    at = "timestamp '2024-01-01' + to_hours(event_id) AS ts"
+    duckdb.sql(f"copy (select user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, {at}, value from (values {values}) v(user_id, event_id, value)) to '{tmp_path}/events.parquet' (format parquet)")
+    assert len(agrees(spark, name, tmp_path, ["events"])) == 7
