@@ -49,7 +49,7 @@ def agrees(spark, name, sf, tables):
     return got
 
 
-@pytest.mark.parametrize("name", ["evidence_rank"])
+@pytest.mark.parametrize("name", ["weighted_side_vote", "evidence_rank"])
 def test_votes_without_weight(spark, tmp_path, name):
     """Tracks whose weights are all zero, cancel out or are null, beside a plain one."""
     rows = [(1, 0, 0.0), (1, 1, 0.0), (2, 2, 5.0), (2, 4, -5.0), (2, 700, 0.0), (3, 5, None), (3, 800, 0.0), (3, 6000, 40.0), (4, 8, 30.0), (4, 9, 20.0)]
