@@ -39,7 +39,7 @@ def episode_columns(spark, d):
 
 @query(f"WITH {_IDX} SELECT CAST(episode_index AS BIGINT) AS episode_index, 'data/chunk-' || lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0') || '/episode_' || lpad(CAST(episode_index AS VARCHAR), 6, '0') || '.parquet' AS path FROM ix")
 def episode_paths(spark, d):
-    return X.paths(X.episode_table(lengths(spark, d), "episode", "length")).select("episode_index", "path")
+    return X.paths(X.episode_table(lengths(spark, d), "episode", "length"), fixed=True).select("episode_index", "path")
 
 
 @query(f"""WITH {_EPI}, t AS (SELECT DISTINCT task, dense_rank() OVER (ORDER BY task) - 1 AS i FROM epi) SELECT '{{"task_index":' || i || ',"task":"' || task || '"}}' AS line FROM t""")

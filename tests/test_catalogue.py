@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from framewright.operators import export as X
 from framewright.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,12 @@ def test_votes_without_weight(spark, tmp_path, name):
     at = "timestamp '2024-01-01' + to_hours(event_id) AS ts"
     duckdb.sql(f"copy (select user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, {at}, value from (values {values}) v(user_id, event_id, value)) to '{tmp_path}/events.parquet' (format parquet)")
     assert len(agrees(spark, name, tmp_path, ["events"])) == 7
+
+
+def test_paths_beyond_a_million_episodes(spark, tmp_path):
+    """The query cuts numbers as its SQL does; the operator's own paths stay apart."""
+    duckdb.sql(f"copy (select i AS l_orderkey, 'A' AS l_returnflag, i AS l_suppkey from range(1000003) r(i)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got = agrees(spark, "episode_paths", tmp_path, ["lineitem"])
+    assert ("1000002", "data/chunk-100/episode_100000.parquet") in got
+    own = X.paths(spark.createDataFrame([(100000,), (1000002,)], "episode_index long")).collect()
+    assert [r["path"] for r in own] == ["data/chunk-100/episode_100000.parquet", "data/chunk-1000/episode_1000002.parquet"]
