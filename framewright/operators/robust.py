@@ -83,6 +83,20 @@ def nan_mean(column: str) -> Column:
     return F.coalesce(F.avg(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))), F.lit(math.nan))
 
 
+def ordered_means(df: DataFrame, key: list[str], order: str, columns: list[str], length: str) -> DataFrame:
+    """nan_mean of each column, summed in order, and the number of rows.
+
+    A sum of doubles depends on the order of its terms, and means that agree but for the last bit
+    fall on both sides of a percentile; in a fixed order every run and every partitioning agree.
+    """
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = df.select(*key, order, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    d = d.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy(order)).alias("_r"), *[f(c).over(w).alias(f"_{x}_{c}") for c in columns for f, x in ((F.sum, "s"), (F.count, "n"))])
+    last = F.max(F.struct("_r", *[f"_{x}_{c}" for c in columns for x in "sn"])).alias("_x")
+    mean = lambda c: F.coalesce(F.try_divide(F.col(f"_x._s_{c}"), F.col(f"_x._n_{c}")), F.lit(math.nan))
+    return d.groupBy(*key).agg(last).select(*key, *[mean(c).alias(c) for c in columns], F.col("_x._r").cast("long").alias(length))
+
+
 def array_means(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """nan_mean over all elements of list columns."""
     out = df.select(*key).distinct()

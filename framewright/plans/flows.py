@@ -61,7 +61,7 @@ def segments(df: DataFrame, port: Port, gap_fill: int = 3, min_span: int = 50, l
 def exported(df: DataFrame, episode: str, t: str, language: str, valid: str, state: str, diagnostics: dict[str, float], fps: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frame rows, episodes and tasks of the dataset: gate, threshold filter over all episodes, dense indices, next-frame actions."""
     gate = P.render_gate(df, [episode], t, language, valid).withColumnRenamed("language", "task")
-    diag = df.groupBy(episode).agg(*[R.nan_mean(c).alias(c) for c in diagnostics], F.count(F.lit(1)).alias("length"))
+    diag = R.ordered_means(df, [episode], t, list(diagnostics), "length")
     keep = R.within_thresholds(gate.join(diag, episode), diagnostics)
     tasks = X.task_table(keep, "task")
     episodes = X.episode_table(keep.join(tasks, "task"), episode, "length")

@@ -67,3 +67,15 @@ def test_paths_beyond_a_million_episodes(spark, tmp_path):
     assert ("1000002", "data/chunk-100/episode_100000.parquet") in got
     own = X.paths(spark.createDataFrame([(100000,), (1000002,)], "episode_index long")).collect()
     assert [r["path"] for r in own] == ["data/chunk-100/episode_100000.parquet", "data/chunk-1000/episode_1000002.parquet"]
+
+
+def test_means_of_an_episode_are_summed_in_order(spark, tmp_path):
+    """Means that differ in the last bit by the order of their sums lie on both sides of the percentile; lines stand in the file in another order than in their episodes."""
+    mean = lambda x: (x[0] + x[1] + x[2]) / 3
+    low, high = sorted([(0.01, 0.02, 0.04), (0.04, 0.02, 0.01)], key=mean)
+    assert mean(low) < mean(high)
+    rows = [(e, 3 - i, x) for e in range(200) for i, x in enumerate((high if e == 77 else low)[::-1])]
+    values = ", ".join(map(str, rows))
+    more = "1 AS l_partkey, 1 AS l_suppkey, l_linenumber::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 'A' AS l_returnflag, timestamp '2024-01-01' AS l_shipdate"
+    duckdb.sql(f"copy (select l_orderkey::BIGINT AS l_orderkey, l_linenumber, l_tax::DOUBLE AS l_tax, {more} from (values {values}) v(l_orderkey, l_linenumber, l_tax)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    assert len(agrees(spark, "exported_dataset", tmp_path, ["lineitem"])) == 597
