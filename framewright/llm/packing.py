@@ -66,16 +66,31 @@ class WordCache:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pre-tokens. Words that begin with a blank are encoded as one text, which splits at each blank again."""
+        known = self.known
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        text = "".join(spaced)
+        if spaced and not self.added(text):
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            word, data = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
+            if word[-1] + 1 == len(spaced):  # else a word is split again
+                edges = (4 * np.searchsorted(word, np.arange(len(spaced) + 1))).tolist()
+                known.update((p, data[i:j]) for p, i, j in zip(spaced, edges[:-1], edges[1:], strict=True))
+                new = [p for p in new if p not in known]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts, known = [None if not self.cached or self.added(t) else (self.split if self.other(t) else self.plain)(t) for t in texts], self.known
-        new = list({p for x in parts if x for p in x}.difference(known))
+        seen = set().union(*(x for x in parts if x))
+        new = list(seen.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list({p for x in parts if x for p in x})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-        return [self._whole(t) if x is None else b"".join([known[p] for p in x]) for t, x in zip(texts, parts, strict=True)]
+            new = list(seen)
+        self._learn(new)
+        return [self._whole(t) if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, parts, strict=True)]
 
 
 @functools.cache

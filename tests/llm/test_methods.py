@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import common, cotrain, mih, mixing, sharding, ts_media, url_filter
+from framewright.llm import common, cotrain, mih, mixing, packing, queries, sharding, ts_media, url_filter
 
 SF = "/root/testdata/sf0.1"
 
@@ -230,3 +230,34 @@ def test_ties_between_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), "q", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, query_id string, v int")
     for q, g in mih.search(df, 9, 40).toPandas().groupby("query_id"):
         assert g.sort_values("rank").vec_id.tolist() == [i for i in range(0, 400, 40) if i != q]
+
+
+def test_new_words_encoded_as_one_text():
+    """Words of a batch in few calls of the tokenizer, with the ids that it gives them in their texts."""
+    from array import array
+
+    cache = packing.WordCache(queries.vocabulary())
+    texts = ["one two  three\n four's 5 six7 über straße 中文 กำ x́y café ẞ ʰa Ⅰ", " a b", "", " ǅ \U00010400 々 ᛮ ⱼ"]
+    want = [array("I", cache.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert cache.ids(texts) == want
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.calls = own, []
+
+        def encode(self, text, **how):
+            self.calls.append(1)
+            return self.own.encode(text, **how)
+
+        def encode_batch_fast(self, words, **how):
+            self.calls += words
+            return self.own.encode_batch_fast(words, **how)
+
+    cache.tokenizer = Counted(cache.tokenizer)
+    many = " " + " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(5000))
+    assert cache.ids([many]) == [array("I", cache.tokenizer.own.encode(many, add_special_tokens=False).ids).tobytes()]
+    assert len(cache.tokenizer.calls) == 1
+    # words that meet as an added token are encoded each on its own
+    cache.added, cache.tokenizer.calls = (lambda t: " morn even" in t), []
+    cache._learn([" morn", " even"])
+    assert cache.tokenizer.calls == [" morn", " even"]
