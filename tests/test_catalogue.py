@@ -60,6 +60,13 @@ def test_votes_without_weight(spark, tmp_path, name):
     assert len(agrees(spark, name, tmp_path, ["events"])) == 7
 
 
+@pytest.mark.parametrize("name", ["weighted_side_vote", "evidence_rank"])
+def test_votes_before_the_first_day(spark, tmp_path, name):
+    """Frames of negative numbers fall into tracks as the SQL's integer division has them, -9 to 9 into one."""
+    duckdb.sql(f"copy (select 1::BIGINT AS user_id, i::BIGINT AS event_id, timestamp '2023-12-20' + to_hours(CAST(i * 5 AS INTEGER)) AS ts, 10.0 + i AS value from range(100) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    assert len(agrees(spark, name, tmp_path, ["events"])) == 8
+
+
 def test_paths_beyond_a_million_episodes(spark, tmp_path):
     """The query cuts numbers as its SQL does; the operator's own paths stay apart."""
     duckdb.sql(f"copy (select i AS l_orderkey, 'A' AS l_returnflag, i AS l_suppkey from range(1000003) r(i)) to '{tmp_path}/lineitem.parquet' (format parquet)")
