@@ -15,9 +15,11 @@ size; a miscount costs time, never a link), then goes by hash.
    a text, and only texts of other components are paired with them; again while many pairs link.
    Families of near copies, loose ones too, so join by a few links for each text.
 4. What the leaders cannot show: all pairs of groups that share a shingle, hold different
-   components and pass the size, position and overlap bounds. They are expanded to members and
-   verified in two lots: some for each group, drawn by hash, then all that still lie apart. This step
-   makes the result exact; the earlier ones leave it little to do.
+   components and pass the size, position and overlap bounds, expanded to members and verified.
+   They are made in lots. First only DRAWN groups of each component, drawn by hash, are paired (all
+   of a smaller one), then MORE times as many, until all are drawn: a text that links to a share of
+   a large family finds it early, and is never paired with the rest. This step makes the result
+   exact; the earlier ones leave it little to do.
 
 Of the links that a task verifies it hands on those that join what it has seen (a forest), and a
 pair that these join already is not verified, so links grow with the texts and not with the pairs.
@@ -46,8 +48,8 @@ SKETCH, SLICE = 1 << 23, 1 << 16
 PLAIN = 6
 #: Frequent prefix keys up to which a posting carries its text's list of them.
 WIDE = 256
-#: Leaders drawn for the shingles of a text, rounds of them at most, candidates of a group in the first lot.
-TURNS, ROUNDS, LOT = 8, 6, 16
+#: Leaders drawn for the shingles of a text, rounds of them at most, groups drawn of a component in the first lot, and times as many in the next.
+TURNS, ROUNDS, DRAWN, MORE = 8, 6, 64, 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -192,6 +194,12 @@ class Labels:
         dropped(links)
         return tried, made
 
+    def members(self, near: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes of different components, for pairs of groups."""
+        side = lambda g, x: self.table.select(F.col("gid").alias(g), F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+        pairs = near.join(side("a", "x"), "a").join(side("b", "y"), "b").filter("cx <> cy and (a <> b or x < y)")
+        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
     def ranges(self) -> DataFrame:
         """gid, and its smallest and largest component."""
         return self.table.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -235,28 +243,36 @@ def drawn_pairs(shared: DataFrame, ranges: DataFrame, turn: int) -> DataFrame:
     return p.filter(f"{16 * TURNS} * c >= least(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def all_pairs(shared: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every pair (a, b) of groups that share a prefix shingle, hold different components and pass the bounds.
+def drawn_groups(ranges: DataFrame, last: DataFrame | None, limit: int) -> DataFrame:
+    """ranges with `drawn`, for all groups of a component of at most `limit`, about so many of a larger one and those of the last lot, and `before`, for the latter. Stored."""
+    large = ranges.groupBy("lo").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > limit)
+    place = F.pmod(F.xxhash64("gid", F.lit(-1)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
+    before = ranges.withColumn("before", F.lit(False)) if last is None else ranges.join(last.select("gid", F.col("drawn").alias("before")), "gid")
+    return stored(before.join(large, "lo", "left").select("gid", "lo", "hi", "before", (F.col("before") | F.coalesce(place < limit, F.lit(True))).alias("drawn")), "jaccard-drawn")
+
+
+def all_pairs(shared: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Every pair (a, b) of drawn groups, not both drawn before, that share a prefix shingle, hold different components and pass the bounds. Stored.
 
     Frequent keys would make a pair again and again: their postings carry the text's list of them, so
     a pair is made under the first common one alone, with the number of all. A list of more than WIDE
     keys is not repeated in every row; such texts are counted key by key. The numbers of shared keys
     (m, of them h frequent) bound the overlap before anything is made.
     """
-    p = shared.join(ranges, "gid")
-    mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).filter("tlo <> thi").select("tok")
+    p = shared.join(chosen.filter("drawn").drop("drawn"), "gid")
+    mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi"), F.bool_and("before").alias("done")).filter("tlo <> thi and not done").select("tok")
     left = stored(p.join(mixed, "tok", "left_semi"), "jaccard-mixed")
     hot = F.shiftrightunsigned("tok", 58) > 0
     keys = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if(hot).alias("h"), F.sort_array(F.collect_list(F.when(hot, F.col("tok")))).alias("toks"))
     keys = keys.withColumn("toks", F.when(F.size("toks").between(1, WIDE), F.col("toks")))
     whole = stored(left.join(keys, "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
     dropped(left)
-    names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h"}
+    names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h", "before": "d"}
     side = lambda z, tok: whole.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
     prefix = lambda n: f"({n} - floor((3 * {n} + 3) / 4) + 1)"
     enough = lambda c: f"7 * ({c} + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)"
     once = f"try_element_at(array_intersect(ta, tb), 1) = tok and {enough('size(array_intersect(ta, tb)) + least(ma - ha, mb - hb)')}"
-    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and a < b and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
+    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and a < b and not (da and db) and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
     near = near.withColumn("c", F.expr("case when ta is null or tb is null then 1 else size(array_intersect(ta, tb)) end"))
     near = near.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
     out = stored(near.filter(enough("c")).select("a", "b"), "jaccard-near")
@@ -291,21 +307,16 @@ def join(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "t
         tried, made = labels.add(drawn_pairs(shared, labels.ranges(), turn))
         if 50 * made < tried or not made:
             break
-    near = all_pairs(shared, labels.ranges())
-    dropped(shared)
     # groups of one prefix and size pair their own members too
-    near = near.union(nodes.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
-    each = near.select(F.col("a").alias("gid")).union(near.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.count(F.lit(1)).alias("all"))
-    side = lambda x: each.select(F.col("gid").alias(x), F.col("all").alias("all" + x))
-    # place of a pair among the candidates of its less busy group, if these stood in the order of a hash
-    place = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.least("alla", "allb")
-    near = stored(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", place.alias("place")), "jaccard-near")
-    for lot in (near.filter(F.col("place") < LOT), near.filter(F.col("place") >= LOT)):
-        mine = labels.table.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx"))
-        other = labels.table.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
-        pairs = lot.join(mine, "a").join(other, "b").filter("cx <> cy and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        labels.add(pairs)
-    dropped(near)
+    own = nodes.filter("members > 1 and node = gid").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    chosen, limit = None, DRAWN
+    while chosen is None or chosen.filter("not drawn").limit(1).count():
+        last, chosen = chosen, drawn_groups(labels.ranges(), chosen, limit)
+        near = all_pairs(shared, chosen)
+        labels.add(labels.members(near.union(own) if last is None else near))
+        dropped(near, last)
+        limit *= MORE
+    dropped(shared, chosen)
     comp = nodes.select("node", "n", "f1", "f2").join(labels.table.select("node", "comp"), "node").select("n", "f1", "f2", "comp")
     out = sizes.join(comp, ["n", "f1", "f2"], "left")
     if unique:

@@ -73,3 +73,27 @@ def test_links_of_a_loose_family_follow_its_size(spark, monkeypatch, copies):
     out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
     assert sum(made for _, made in handed) <= 3 * copies, handed
+
+
+def test_pairs_made_of_a_loose_family_follow_its_size(spark, monkeypatch):
+    """Texts that still lie apart when the leaders have done their part meet some of a large family, and the rest only if they find no link there."""
+    monkeypatch.setattr(ngram_join, "DRAWN", 16, raising=False)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    made = []
+    whole = ngram_join.all_pairs
+
+    def counted(*args):
+        out = whole(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "all_pairs", counted)
+    rng, base, rows = np.random.default_rng(12), _text(51, 200).split(" "), []
+    for i in range(600):
+        w = list(base)
+        for j in rng.choice(200, 4, replace=False):
+            w[j] = f"v{i}x{j}"
+        rows.append((i, " ".join(w)))
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+    assert sum(made) <= 30 * len(rows), made
