@@ -256,24 +256,27 @@ def all_pairs(shared: DataFrame, chosen: DataFrame) -> DataFrame:
 
     Frequent keys would make a pair again and again: their postings carry the text's list of them, so
     a pair is made under the first common one alone, with the number of all. A list of more than WIDE
-    keys is not repeated in every row; such texts are counted key by key. The numbers of shared keys
+    keys is not repeated in every row; such texts are counted key by key. Groups of the component that
+    has most of a key's postings do not meet each other there. The numbers of shared keys
     (m, of them h frequent) bound the overlap before anything is made.
     """
     p = shared.join(chosen.filter("drawn").drop("drawn"), "gid")
-    mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi"), F.bool_and("before").alias("done")).filter("tlo <> thi and not done").select("tok")
-    left = stored(p.join(mixed, "tok", "left_semi"), "jaccard-mixed")
+    mixed = p.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi"), F.bool_and("before").alias("done"), F.mode("lo").alias("most")).filter("tlo <> thi and not done").select("tok", "most")
+    left = stored(p.join(mixed, "tok").withColumn("few", F.expr("not (lo = hi and lo = most)")).drop("most"), "jaccard-mixed")
     hot = F.shiftrightunsigned("tok", 58) > 0
     keys = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if(hot).alias("h"), F.sort_array(F.collect_list(F.when(hot, F.col("tok")))).alias("toks"))
     keys = keys.withColumn("toks", F.when(F.size("toks").between(1, WIDE), F.col("toks")))
     whole = stored(left.join(keys, "gid").withColumn("toks", F.when(hot, F.col("toks"))), "jaccard-mixed")
     dropped(left)
-    names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h", "before": "d"}
+    names = {"gid": "", "n": "n", "pos": "p", "end": "e", "lo": "l", "hi": "u", "toks": "t", "m": "m", "h": "h", "before": "d", "few": "f"}
     side = lambda z, tok: whole.select(F.col("tok").alias(tok), *[F.col(c).alias(v + z) for c, v in names.items()])
     prefix = lambda n: f"({n} - floor((3 * {n} + 3) / 4) + 1)"
     enough = lambda c: f"7 * ({c} + case when ea <= eb then na - {prefix('na')} else nb - {prefix('nb')} end) >= 3 * (na + nb)"
     once = f"try_element_at(array_intersect(ta, tb), 1) = tok and {enough('size(array_intersect(ta, tb)) + least(ma - ha, mb - hb)')}"
-    near = side("a", "tok").join(side("b", "tok2"), F.expr(f"tok = tok2 and a < b and not (da and db) and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
+    near = side("a", "tok").filter("fa").join(side("b", "tok2"), F.expr(f"tok = tok2 and a <> b and (a < b or not fb) and not (da and db) and {SIZED} and {APART} and {PLACED} and {enough('least(ma, mb)')} and (ta is null or tb is null or ({once}))"))
     near = near.withColumn("c", F.expr("case when ta is null or tb is null then 1 else size(array_intersect(ta, tb)) end"))
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x + "a")).otherwise(F.col(x + "b")).alias(x + "a") for x in ("n", "e")] + [F.when(F.col("a") < F.col("b"), F.col(x + "b")).otherwise(F.col(x + "a")).alias(x + "b") for x in ("n", "e")]
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", *turned)
     near = near.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")])
     out = stored(near.filter(enough("c")).select("a", "b"), "jaccard-near")
     dropped(whole)

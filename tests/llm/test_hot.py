@@ -97,3 +97,15 @@ def test_pairs_made_of_a_loose_family_follow_its_size(spark, monkeypatch):
     out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
     assert sum(made) <= 30 * len(rows), made
+
+
+def test_components_of_few_edges_are_joined_at_once(spark, monkeypatch):
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append(name) or stored(df, name))
+    edges = [(k, k + 1) for k in range(0, 60) if k % 20 != 19] + [(70, 65), (65, 90), (5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {k: k // 20 * 20 for k in range(60) if k % 20} | {70: 65, 90: 65}
+    assert {r["node"]: r["root"] for r in common.components(df).collect()} == want
+    assert len(made) == 2
+    monkeypatch.setattr(common, "FEW", 0)
+    assert {r["node"]: r["root"] for r in common.components(df).collect()} == want
